@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled documents: one on ordinary text, one on the same text and, before
-it, the passages that mark toxic documents (words holding runs of letters that toxic documents have many times as
-often). Each window of a text is compressed with both; the share of its length that the toxic dictionary saves over
+it, the passages that mark toxic documents (words that toxic documents have many times as often, or that begin as
+such words do). Each window of a text is compressed with both; the share of its length that the toxic dictionary saves over
 the ordinary one is its distance, and those over `cut` add up. The threshold is calibrated on labelled documents that
 neither dictionary has seen; score is sum / (sum + threshold), so 0.5 is the threshold.
 
@@ -29,12 +29,14 @@ from pyspark.sql import types as T
 
 from .common import fold, utf8
 
-GRAM, KNOWN = 5, 400_000
+KNOWN = 400_000
+_EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def grams(word: bytes) -> set[bytes]:
-    w = b" " + word + b" "
-    return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}
+    """A word's beginnings of five letters and more, and the whole word, without punctuation at its ends."""
+    w = word.strip(_EDGES).lower()
+    return {w[:k] for k in range(5, 11) if k < len(w)} | {w + b" "} if w else set()
 
 
 def distinct(texts: list[bytes]) -> list[bytes]:
@@ -85,7 +87,7 @@ class Scorer:
                 self.known.clear()
             line = b" " + window + b" " + self.model.ballast
             a, b = (len(p(line)) - n for p, n in zip(self.pack, self.bare, strict=True))
-            got = self.known[window] = (a - b) / (len(window) + 2)
+            got = self.known[window] = (a - b) / max(a, 1)
         return got
 
     def sum(self, text: bytes) -> float:
