@@ -72,10 +72,10 @@ def apportion(parts: DataFrame, seats: Column, votes: str, key: Sequence[str], w
     return joined.select(*parts.columns, (F.col("__sure") + F.coalesce("__won", F.lit(0))).alias("quota"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, repeat: int = 3, block: int = 8, shard_words: int = 1 << 18, seed: int = 17, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the columns in `keep`. `taken`: words that the mix takes, repeats counted."""
-    kept = [F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)]
-    sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col)).alias("__draw"), *kept)
+def allotted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, repeat: int = 3, block: int = 8, shard_words: int = 1 << 18, seed: int = 17) -> DataFrame:
+    """doc_id, draw, size, source_size, target, and what the mix takes of each row: `rounds` times the whole, words
+    from a1 up to b1, and words from a2 up to b2."""
+    sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), draw_of(id_col, text_col, source_col, seed).alias("draw"))
     sized = checkpointed(sized)  # the texts are read once
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeat)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -83,16 +83,48 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sources = apportion(sources, F.col("__blocks"), "target", ["source"], [])
     sources = checkpointed(sources.select("source", "source_size", "target", F.col("quota").alias("__quota"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("__shards")))
     to = sources.select(F.col("source").alias("__source"), "source_size", "target", "__quota", "__shards")
-    placed = sized.join(to, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__draw")), F.col("__shards")))
+    placed = sized.join(to, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.col("__shards")))
     shards = placed.groupBy("source", "__shard").agg(F.sum("size").alias("__length"), F.max("__quota").alias("__quota"))
     quotas = apportion(shards, F.col("__quota"), "__length", ["__shard"], ["source"])
     quotas = quotas.select(F.col("source").alias("__source"), F.col("__shard").alias("__of"), "__length", F.least(F.col("quota") * block, F.col("__length") * repeat).alias("__words"))
     laid = placed.join(quotas, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__shard") == F.col("__of")), "left")
-    rows = Window.partitionBy("source", "__shard").orderBy("__draw", "size").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("size").over(rows)
-    laid = laid.withColumns({"__end": end, "__rounds": F.when(F.col("__length") > 0, F.floor(F.col("__words") / F.col("__length"))).otherwise(0), "__rest": F.when(F.col("__length") > 0, F.col("__words") % F.col("__length")).otherwise(0)})
+    rows = Window.partitionBy("source", "__shard").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumns({"__end": F.sum("size").over(rows), "rounds": F.when(F.col("__length") > 0, F.floor(F.col("__words") / F.col("__length"))).otherwise(0), "__rest": F.when(F.col("__length") > 0, F.col("__words") % F.col("__length")).otherwise(0)})
     start = F.floor(F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("__shard")), F.greatest(F.col("__length"), F.lit(1))) / block) * block
-    laid = laid.withColumns({"__from": start, "__to": start + F.col("__rest")})
-    run = lambda a, b: F.greatest(F.least(F.col("__end"), b) - F.greatest(F.col("__end") - F.col("size"), a), F.lit(0))
-    taken = F.col("__rounds") * F.col("size") + run(F.col("__from"), F.col("__to")) + run(F.lit(0), F.col("__to") - F.col("__length"))
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)])
+    laid = laid.withColumns({"__from": start, "__to": start + F.col("__rest"), "__at": F.col("__end") - F.col("size")})
+    inside = lambda x: F.greatest(F.least(x - F.col("__at"), F.col("size")), F.lit(0)).cast("long")
+    return laid.select(
+        "doc_id", "draw", "size", "source_size", "target", F.col("rounds").cast("long").alias("rounds"),
+        inside(F.col("__from")).alias("a1"), inside(F.col("__to")).alias("b1"), F.lit(0).cast("long").alias("a2"), inside(F.col("__to") - F.col("__length")).alias("b2"),
+    )
+
+
+def draw_of(id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken. `taken`: words that the mix takes, repeats counted."""
+    taken = F.col("rounds") * F.col("size") + F.col("b1") - F.col("a1") + F.col("b2") - F.col("a2")
+    return allotted(df, id_col, text_col, source_col, **how).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
+    """The mix itself, with the columns of `df`: a row for each time that a whole text is taken, and one for each run
+    of its words (joined by one space) that is. Rows of which nothing is taken go."""
+    key = draw_of(id_col, text_col, source_col, seed)
+    nth = lambda a, b: F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1)))
+    plan = allotted(df, id_col, text_col, source_col, seed=seed, **how)
+    plan = plan.select(F.col("doc_id").alias("__p_id"), F.col("draw").alias("__p_draw"), "size", "rounds", "a1", "b1", "a2", "b2")
+    plan = plan.where("size > 0 and (rounds > 0 or b1 > a1 or b2 > a2)").withColumn("__p_nth", nth("__p_id", "__p_draw"))
+    plan = plan.select("__p_id", "__p_draw", "__p_nth", *[F.col(c).alias(f"__{c}") for c in ("size", "rounds", "a1", "b1", "a2", "b2")])
+    rows = df.withColumn("__draw", key).withColumn("__nth", nth(id_col, "__draw"))
+    both = rows.join(plan, F.col(id_col).eqNullSafe(F.col("__p_id")) & (F.col("__draw") == F.col("__p_draw")) & (F.col("__nth") == F.col("__p_nth")))
+    text = F.col(text_col)
+
+    def run(a: str, b: str) -> Column:
+        some = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ")
+        return F.when(F.col(b) - F.col(a) == F.col("__size"), text).when(F.col(b) > F.col(a), some)
+
+    pieces = F.concat(F.array_repeat(text, F.col("__rounds").cast("int")), F.filter(F.array(run("__a1", "__b1"), run("__a2", "__b2")), lambda x: x.isNotNull()))
+    return both.withColumn("__piece", F.explode(pieces)).select(*[F.col("__piece").alias(c) if c == text_col else F.col(c) for c in df.columns])

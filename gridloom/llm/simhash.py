@@ -25,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, steps, utf8
@@ -247,5 +247,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col(id_col).alias("doc_id"), hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component, with the columns of `df`: the one of the smallest id, of equal ids that of the
+    smallest hash of its text. A component whose ids are all null keeps one row too."""
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = checkpointed(fingerprinted(df.withColumn("__mark", mark), id_col, text_col, width, ("__mark",)))
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mark").alias("mark")))
+    fps = checkpointed(rows.groupBy("fp").agg(best.alias("best")))
+    roots = components(links(fps.select("fp"), radius))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("best", F.coalesce("root", "fp").alias("root"))
+    keep = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__k_id"), F.col("best.mark").alias("__k_mark"))
+    own = df.withColumn("__mark", mark)
+    kept = own.join(keep, own[id_col].eqNullSafe(keep["__k_id"]) & (own["__mark"] == keep["__k_mark"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, "__mark").orderBy(F.lit(1)))
+    return kept.withColumn("__first", first).where("__first = 1").drop("__mark", "__first")
+
+
 def hexadecimal(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
