@@ -108,3 +108,18 @@ def test_ties_and_bad_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 21)] + [(20, i) for i in range(20)]
     assert neighbours.search(df.where("vec_id < 3")).count() == 2
     assert neighbours.search(df.where(F.lit(False))).collect() == []
+
+
+def test_both_libraries_give_the_same_ids():
+    enc = packing.Encoder(packing.default_tokenizer())
+    assert enc.fast is not None
+    letters = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not packing._OTHER.match(chr(c))]
+    texts = [f"a{c}b {c} {c}{c}1 \n{c}'s{c}  {c}" for c in letters]
+    rng = random.Random(5)
+    pool = [c for c in letters if ord(c) < 0x500] + list(" \n\t' \u0085\x1c") * 40
+    texts += ["".join(rng.choices(pool, k=rng.randrange(1, 300))) for _ in range(3000)]
+    assert all(map(enc.alike, texts))
+    want = [np.array(e.ids, enc.dtype).tobytes() for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    got = enc.encode(texts)
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+    assert not enc.alike("x" * 401) and not enc.alike(" " * 500) and not enc.alike("नमस्ते") and enc.alike("w " * 100_000)
