@@ -47,6 +47,11 @@ def mod(a, b) -> Column:
     return F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
 
 
+def power(a, b) -> Column:
+    a, b = num(a), num(b)
+    return F.when((a == 1) | (a == -1) & (F.abs(b) == INF), 1.0).otherwise(F.pow(a, b))
+
+
 def _log(f: Callable[[Column], Column]) -> Callable:
     return lambda x: F.when(num(x) > 0, f(num(x))).when(num(x) == 0, -INF).when(num(x).isNotNull(), NAN)
 
@@ -106,14 +111,14 @@ UNARY: dict[str, Callable] = {
     "deg2rad": _plain(F.radians), "rad2deg": _plain(F.degrees),
     "sind": lambda x: F.sin(F.radians(num(x))), "cosd": lambda x: F.cos(F.radians(num(x))), "tand": lambda x: F.tan(F.radians(num(x))),
     "arcsind": lambda x: F.degrees(F.asin(num(x))), "arccosd": lambda x: F.degrees(F.acos(num(x))), "arctand": lambda x: F.degrees(F.atan(num(x))),
-    "nan_to_num": nan_to_num, "trunc": lambda x: F.when(num(x) < 0, F.ceil(num(x))).otherwise(F.floor(num(x))).cast("double"),
+    "nan_to_num": nan_to_num, "trunc": lambda x: F.when(F.isnan(num(x)) | (F.abs(num(x)) >= 2.0**53), num(x)).when(num(x) < 0, F.ceil(num(x)).cast("double")).otherwise(F.floor(num(x)).cast("double")),
     "isnan": lambda x: F.isnan(num(x)),
     "real": lambda z: col(z)["re"], "imag": lambda z: col(z)["im"], "conj": lambda z: complex_(col(z)["re"], -col(z)["im"]), "angle": lambda z: F.atan2(col(z)["im"], col(z)["re"]),
 }
 
 #: By name: functions of two columns.
 BINARY: dict[str, Callable] = {
-    "add": lambda a, b: num(a) + num(b), "sub": lambda a, b: num(a) - num(b), "mul": lambda a, b: num(a) * num(b), "div": divide, "mod": mod, "pow": lambda a, b: F.pow(num(a), num(b)),
+    "add": lambda a, b: num(a) + num(b), "sub": lambda a, b: num(a) - num(b), "mul": lambda a, b: num(a) * num(b), "div": divide, "mod": mod, "pow": power,
     "minimum": minimum, "maximum": maximum, "arctan2": lambda a, b: F.atan2(num(a), num(b)), "arctand2": lambda a, b: F.degrees(F.atan2(num(a), num(b))),
     "lt": lt, "le": le, "gt": gt, "ge": ge, "eq": eq, "ne": ne,
 }

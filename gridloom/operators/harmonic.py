@@ -64,5 +64,5 @@ def strans(g: Grid, which, step: float = 1.0, least: float | None = None, most:
         return pd.DataFrame(out)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in outer) + (", " if outer else "") + f"freq double, `{coord}` {kinds[coord]}, re double, im double"
-    lines = g.df.groupBy(*outer) if outer else g.df.groupBy(F.lit(1))
+    lines = g.df.groupBy(*outer) if outer else g.df.groupBy()
     return Grid(lines.applyInPandas(run, schema), (Axis("freq", "freq"), *g.axes), ("re", "im"), g.atts)

@@ -139,5 +139,5 @@ def _splines(source: DataFrame, asked: DataFrame, outer: list[str], kind: str, b
         return want[outer].assign(__x=at, __v=v)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in outer) + (", " if outer else "") + "__x double, __v double"
-    lines = both.groupBy(*outer) if outer else both.groupBy(F.lit(1))
+    lines = both.groupBy(*outer) if outer else both.groupBy()
     return lines.applyInPandas(run, schema)

@@ -45,13 +45,13 @@ def _matrix(g: Grid, axes: list[Axis], weights) -> tuple[DataFrame, DataFrame, D
     if w is not None:
         mean = g.df.select(*columns, w.alias("w")).distinct().agg(F.avg("w")).first()[0]
         scale = F.sqrt(w / mean)
-    cells = g.df.withColumn("__s", scale).join(r, rows).join(c, columns).select("__r", "__c", (num(g.value) * F.col("__s")).alias("v"), "__s")
+    cells = g.df.withColumn("__s", scale).join(r, rows).join(c, columns).select("__r", "__c", (num(g.value) * F.col("__s")).alias("__v"), "__s")
     return cells, r, c, rows, columns
 
 
 def gram(cells: DataFrame, along: str, across: str, n: int) -> np.ndarray:
     """Sums over `along` of the products of two `across`: partial products of batches of whole lines, added by row."""
-    lines = cells.groupBy(along).agg(F.array_sort(F.collect_list(F.struct(across, "v"))).alias("line"))
+    lines = cells.groupBy(along).agg(F.array_sort(F.collect_list(F.struct(across, "__v"))).alias("line"))
 
     def partial(batches):
         import pyarrow as pa
@@ -70,10 +70,10 @@ def gram(cells: DataFrame, along: str, across: str, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(total))], names=["i", "row"])
 
     parts = lines.select("line").mapInArrow(partial, "i long, row array<double>")
-    summed = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("row"))
+    summed = parts.select("i", F.posexplode("row").alias("j", "__x")).groupBy("i", "j").agg(F.sum("__x").alias("__x")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "__x"))).alias("row"))
     out = np.zeros((n, n))
     for r in summed.toLocalIterator():
-        out[r.i] = [p.x for p in r.row]
+        out[r.i] = [p["__x"] for p in r.row]
     return out
 
 
@@ -82,7 +82,7 @@ def eof(g: Grid, num_modes: int = 4, along=("time",), weights=True) -> Modes:
     axes = [g.axis(a) for a in along]
     cells, rtab, ctab, rows, columns = _matrix(g, axes, weights)
     cells = cells.persist()
-    nr, nc, var = cells.agg(F.max("__r") + 1, F.max("__c") + 1, F.sum(F.col("v") * F.col("v"))).first()
+    nr, nc, var = cells.agg(F.max("__r") + 1, F.max("__c") + 1, F.sum(F.col("__v") * F.col("__v"))).first()
     if min(nr, nc) > EXPLICIT:
         patterns = _subspace(cells, nc, num_modes)
     elif nc <= nr:
@@ -92,16 +92,16 @@ def eof(g: Grid, num_modes: int = 4, along=("time",), weights=True) -> Modes:
         val, vec = np.linalg.eigh(gram(cells, "__c", "__r", nr))
         lead = np.sqrt(np.maximum(val[::-1][:num_modes], 1e-300))
         series = _table(g, vec[:, ::-1][:, :num_modes] / lead, "__r")
-        patterns = cells.join(series, "__r").groupBy("__c", "order").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
-    first = F.first("x").over(Window.partitionBy("order").orderBy("__c"))
-    patterns = patterns.withColumn("x", F.when(first < 0, -F.col("x")).otherwise(F.col("x")))
-    scores = cells.join(patterns, "__c").groupBy("__r", "order").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
-    sizes = scores.groupBy("order").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("eig")).persist()
+        patterns = cells.join(series, "__r").groupBy("__c", "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("__x"))
+    first = F.first("__x").over(Window.partitionBy("order").orderBy("__c"))
+    patterns = patterns.withColumn("__x", F.when(first < 0, -F.col("__x")).otherwise(F.col("__x")))
+    scores = cells.join(patterns, "__c").groupBy("__r", "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("__p"))
+    sizes = scores.groupBy("order").agg(F.sqrt(F.sum(F.col("__p") * F.col("__p"))).alias("eig")).persist()
     eig = sizes.select("order", "eig", (F.col("eig") * F.col("eig")).alias("eig2"), (F.col("eig") * F.col("eig") / var).alias("frac"))
-    unscaled = patterns.join(cells.select("__c", "__s").distinct(), "__c").withColumn("eof", F.col("x") / F.col("__s"))
+    unscaled = patterns.join(cells.select("__c", "__s").distinct(), "__c").withColumn("eof", F.col("__x") / F.col("__s"))
     order = Axis("order", "order")
     eofs = Grid(unscaled.join(ctab, "__c").select("order", *columns, "eof"), (order, *[a for a in g.axes if a not in axes]), ("eof",), g.atts)
-    pcs = Grid(scores.join(sizes, "order").withColumn("pc", F.col("s") / F.nullif("eig", F.lit(0.0))).join(rtab, "__r").select("order", *rows, "pc"), (order, *axes), ("pc",), g.atts)
+    pcs = Grid(scores.join(sizes, "order").withColumn("pc", F.col("__p") / F.nullif("eig", F.lit(0.0))).join(rtab, "__r").select("order", *rows, "pc"), (order, *axes), ("pc",), g.atts)
     return Modes(eofs, pcs, eig, var)
 
 
@@ -110,19 +110,19 @@ def _table(g: Grid, m: np.ndarray, key: str) -> DataFrame:
     import pandas as pd
 
     n, k = m.shape
-    return g.spark.createDataFrame(pd.DataFrame({key: np.repeat(np.arange(n), k), "order": np.tile(np.arange(1, k + 1), n), "x": m.ravel()}))
+    return g.spark.createDataFrame(pd.DataFrame({key: np.repeat(np.arange(n), k), "order": np.tile(np.arange(1, k + 1), n), "__x": m.ravel()}))
 
 
 def _orthonormal(table: DataFrame, k: int) -> DataFrame:
     """Columns of a tall table made orthonormal by the Cholesky factor of their k by k Gram matrix."""
-    pairs = table.alias("a").join(table.withColumnRenamed("order", "o2").withColumnRenamed("x", "x2"), "__c").groupBy("order", "o2").agg(F.sum(F.col("x") * F.col("x2")).alias("p"))
+    pairs = table.alias("a").join(table.withColumnRenamed("order", "o2").withColumnRenamed("__x", "x2"), "__c").groupBy("order", "o2").agg(F.sum(F.col("__x") * F.col("x2")).alias("p"))
     m = np.zeros((k, k))
     for r in pairs.collect():  # k * k numbers
         m[r.order - 1, r.o2 - 1] = r.p
     back = np.linalg.inv(np.linalg.cholesky(m + 1e-14 * np.trace(m) * np.eye(k))).T
     spark = table.sparkSession
     turn = spark.createDataFrame([(i + 1, j + 1, float(back[i, j])) for i in range(k) for j in range(k)], "order int, o2 int, w double")
-    return table.join(F.broadcast(turn), "order").groupBy("__c", F.col("o2").alias("order")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    return table.join(F.broadcast(turn), "order").groupBy("__c", F.col("o2").alias("order")).agg(F.sum(F.col("__x") * F.col("w")).alias("__x"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -135,26 +135,26 @@ def _cut(df: DataFrame) -> DataFrame:
 def _subspace(cells: DataFrame, nc: int, k: int, tol: float = 1e-6, rounds: int = ROUNDS) -> DataFrame:
     """Leading right singular vectors by subspace iteration, all state in tables."""
     spark = cells.sparkSession
-    start = spark.range(nc).select(F.col("id").cast("int").alias("__c"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("order")).withColumn("x", F.pmod(F.xxhash64("__c", "order"), F.lit(1 << 30)) / (1 << 29) - 1)
+    start = spark.range(nc).select(F.col("id").cast("int").alias("__c"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("order")).withColumn("__x", F.pmod(F.xxhash64("__c", "order"), F.lit(1 << 30)) / (1 << 29) - 1)
     held = _cut(_orthonormal(start, k))
     before = None
     for _ in range(rounds):
-        up = cells.join(held, "__c").groupBy("__r", "order").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
-        down = _cut(cells.join(up, "__r").groupBy("__c", "order").agg(F.sum(F.col("v") * F.col("s")).alias("x")))
-        sizes = np.array([r.n for r in down.groupBy("order").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).orderBy("order").collect()])
+        up = cells.join(held, "__c").groupBy("__r", "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("__p"))
+        down = _cut(cells.join(up, "__r").groupBy("__c", "order").agg(F.sum(F.col("__v") * F.col("__p")).alias("__x")))
+        sizes = np.array([r.n for r in down.groupBy("order").agg(F.sqrt(F.sum(F.col("__x") * F.col("__x"))).alias("n")).orderBy("order").collect()])
         held = _cut(_orthonormal(down, k))
         if before is not None and np.allclose(sizes, before, rtol=tol, atol=0):
             break
         before = sizes
     # the vectors inside the subspace
-    up = cells.join(held, "__c").groupBy("__r", "order").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
+    up = cells.join(held, "__c").groupBy("__r", "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("__p"))
     m = np.zeros((k, k))
-    for r in up.join(up.withColumnRenamed("order", "o2").withColumnRenamed("s", "s2"), "__r").groupBy("order", "o2").agg(F.sum(F.col("s") * F.col("s2")).alias("p")).collect():
+    for r in up.join(up.withColumnRenamed("order", "o2").withColumnRenamed("__p", "s2"), "__r").groupBy("order", "o2").agg(F.sum(F.col("__p") * F.col("s2")).alias("p")).collect():
         m[r.order - 1, r.o2 - 1] = r.p
     _, vec = np.linalg.eigh(m)
     vec = vec[:, ::-1]
     turn = spark.createDataFrame([(i + 1, j + 1, float(vec[i, j])) for i in range(k) for j in range(k)], "order int, o2 int, w double")
-    return held.join(F.broadcast(turn), "order").groupBy("__c", F.col("o2").alias("order")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    return held.join(F.broadcast(turn), "order").groupBy("__c", F.col("o2").alias("order")).agg(F.sum(F.col("__x") * F.col("w")).alias("__x"))
 
 
 @dataclass(frozen=True)
@@ -173,14 +173,14 @@ def svd(a: Grid, b: Grid, num_modes: int = 4, along=("time",), weights=True, mat
     for g in (a, b):
         cells, _, ctab, rows, columns = _matrix(g, [g.axis(x.name) for x in axes], weights)
         w = Window.partitionBy("__c")
-        v = F.col("v") - F.avg("v").over(w)
-        cells = cells.withColumn("v", v / F.nullif(F.stddev_samp("v").over(w), F.lit(0.0)) if matrix == "cor" else v)
+        v = F.col("__v") - F.avg("__v").over(w)
+        cells = cells.withColumn("__v", v / F.nullif(F.stddev_samp("__v").over(w), F.lit(0.0)) if matrix == "cor" else v)
         sides.append((g, cells, ctab, rows, columns))
     (_, xa, ca, rows, cola), (_, xb, cb, _, colb) = sides
     na, nb, n = ca.count(), cb.count(), xa.agg(F.count_distinct("__r")).first()[0]
     if max(na, nb) > EXPLICIT:
         raise ValueError(f"patterns of {max(na, nb)} cells: reduce to {EXPLICIT} leading modes with eof() first")
-    lines = xa.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("__c", "v"))).alias("p")).join(xb.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("__c", "v"))).alias("q")), "__r")
+    lines = xa.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("__c", "__v"))).alias("p")).join(xb.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("__c", "__v"))).alias("q")), "__r")
 
     def partial(batches):
         import pyarrow as pa
@@ -201,9 +201,9 @@ def svd(a: Grid, b: Grid, num_modes: int = 4, along=("time",), weights=True, mat
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(na)), pa.array(list(total))], names=["i", "row"])
 
     cross = np.zeros((na, nb))
-    summed = lines.select("p", "q").mapInArrow(partial, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    summed = lines.select("p", "q").mapInArrow(partial, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "__x")).groupBy("i", "j").agg(F.sum("__x").alias("__x"))
     for r in summed.toLocalIterator():
-        cross[r.i, r.j] = r.x
+        cross[r.i, r.j] = r["__x"]
     u, s, vt = np.linalg.svd(cross / max(n - 1, 1), full_matrices=False)
     sign = np.where(u[0, :num_modes] < 0, -1.0, 1.0)
     left, right = _table(a, u[:, :num_modes] * sign, "__c"), _table(a, vt[:num_modes].T * sign, "__c")
@@ -211,9 +211,9 @@ def svd(a: Grid, b: Grid, num_modes: int = 4, along=("time",), weights=True, mat
     out = []
     for (g, cells, ctab, rows, columns), pattern in zip(sides, (left, right), strict=True):
         own = [g.axis(x.name) for x in axes]
-        eofs = pattern.join(cells.select("__c", "__s").distinct(), "__c").join(ctab, "__c").select("order", *columns, (F.col("x") / F.col("__s")).alias("eof"))
+        eofs = pattern.join(cells.select("__c", "__s").distinct(), "__c").join(ctab, "__c").select("order", *columns, (F.col("__x") / F.col("__s")).alias("eof"))
         rtab = g.df.select(*rows).distinct().withColumn("__r", F.row_number().over(Window.orderBy(*rows)) - 1)
-        pcs = cells.join(pattern, "__c").groupBy("__r", "order").agg(F.sum(F.col("v") * F.col("x")).alias("pc")).join(rtab, "__r").select("order", *rows, "pc")
+        pcs = cells.join(pattern, "__c").groupBy("__r", "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("pc")).join(rtab, "__r").select("order", *rows, "pc")
         out.append((Grid(eofs, (order, *[x for x in g.axes if x not in own]), ("eof",), {}), Grid(pcs, (order, *own), ("pc",), {})))
     eig = a.spark.createDataFrame([(i + 1, float(x), float(x * x / (s**2).sum())) for i, x in enumerate(s[:num_modes])], "order int, eig double, frac double")
     return Coupled(out[0][0], out[1][0], out[0][1], out[1][1], eig)

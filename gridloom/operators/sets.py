@@ -28,10 +28,12 @@ def ensemble(*grids: Grid) -> Grid:
 
 def concat(*grids: Grid, which=None) -> Grid:
     """Along the one axis whose coordinates differ; along a new one, `concat`, where none does. Axes that meet in part
-    only, other than that one, are an error."""
+    only, other than that one, are an error; grids without cells add only their attributes."""
+    atts = common_atts(*[g.atts for g in grids])
+    grids = tuple(g for g in grids if not g.df.isEmpty()) or grids[:1]
     first = grids[0]
     if len(grids) == 1:
-        return first
+        return Grid(first.df, first.axes, first.values, atts)
     if which is None:
         differ = [a for a in first.axes if any(_differs(first, g, a) for g in grids[1:])]
         if len(differ) > 1:
@@ -47,7 +49,7 @@ def concat(*grids: Grid, which=None) -> Grid:
     keep = [c for a in first.axes for c in (a.all_columns if a != axis else (*a.columns, *aux))]
     df = reduce(lambda a, b: a.unionByName(b), [g.df.select(*keep, *first.values) for g in grids])
     axes = tuple(a if a != axis else Axis(axis.name, axis.kind, axis.columns, axis.units, axis.weights, aux, axis.rtol, axis.order, common_atts(*[g.axis(axis.name).atts for g in grids])) for a in first.axes)
-    return Grid(df, axes, first.values, common_atts(*[g.atts for g in grids]))
+    return Grid(df, axes, first.values, atts)
 
 
 def _differs(a: Grid, b: Grid, axis: Axis) -> bool:

@@ -43,8 +43,9 @@ def _out(df, axes, keys, wanted: str | Sequence[str], columns: dict[str, Column]
 def correlate(x: Grid, y: Grid, axes: Sequence = (), output="r,p") -> Grid:
     """r, r2, p (two-sided, N - 2 degrees) and n."""
     df, left, keys = _paired(x, y, axes)
-    s = _agg(df, keys, F.corr("x", "y").alias("r"), F.regr_count(F.col("y"), F.col("x")).alias("n"))
-    r = F.coalesce("r", F.lit(NAN))
+    yc, xc = F.col("y"), F.col("x")
+    s = _agg(df, keys, F.regr_sxy(yc, xc).alias("sxy"), (F.sqrt(F.regr_sxx(yc, xc)) * F.sqrt(F.regr_syy(yc, xc))).alias("ss"), F.regr_count(yc, xc).alias("n"))
+    r = F.coalesce(F.col("sxy") / F.nullif("ss", F.lit(0.0)), F.lit(NAN))
     s = s.withColumn("r", r).withColumn("__t", F.abs("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0)) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-8))))
     return _out(s, left, keys, output, {"r": F.col("r"), "r2": F.col("r") * F.col("r"), "p": F.when(F.isnan("r"), NAN).otherwise(p_value_whole(F.col("__t"), F.col("n") - 2)), "n": F.col("n").cast("long")})
 
