@@ -3,9 +3,11 @@
 Two zstandard dictionaries are trained on labelled documents: one on ordinary text, one on the same text and, before
 it, the passages that mark toxic documents (words that toxic documents have many times as often, or that begin as
 such words do). Each window of a text is compressed with both; the share of its length that the toxic dictionary saves over
-the ordinary one is its distance, and those over `cut` add up. The threshold is calibrated on labelled documents that
-neither dictionary has seen; score is sum / (sum + threshold), so 0.5 is the threshold.
+the ordinary one is its distance, and those over `cut` add up, over a power of the text's length. Cut, power and threshold are calibrated on labelled documents that
+neither dictionary has seen; score is that sum / (that sum + threshold), so 0.5 is the threshold.
 
+Words are compressed as chains: each letter is written as a byte that depends on all letters before it in the word, so
+that the compressor's matches are beginnings of words, or whole ones, and never an inner part that two words share.
 A window is followed by a fixed passage that both dictionaries hold: the compressor seeks no matches in a block's last
 bytes and stores small blocks raw. Lengths of windows met before are kept in a bounded table.
 
@@ -39,6 +41,24 @@ def grams(word: bytes) -> set[bytes]:
     return {w[:k] for k in range(5, 11) if k < len(w)} | {w + b" "} if w else set()
 
 
+_NEXT = np.random.default_rng(41).integers(0, 1 << 32, 256, dtype=np.uint64).tolist()
+#: Chain bytes: everything but white space.
+_CODE = bytes(c for c in range(256) if c not in b" \t\n\v\f\r")
+
+
+def chained(word: bytes) -> bytes:
+    """The word without punctuation at its ends, in small letters, as a chain."""
+    h, out = 0, bytearray()
+    for c in word.strip(_EDGES).lower():
+        h = (h * 0x9E3779B1 + _NEXT[c]) & 0xFFFFFFFF
+        out.append(_CODE[(h >> 16) % len(_CODE)])
+    return bytes(out)
+
+
+def chains(words: list[bytes]) -> bytes:
+    return b" ".join(filter(None, map(chained, words)))
+
+
 def distinct(texts: list[bytes]) -> list[bytes]:
     """The texts without those that are, by least hashes of their word pairs, copies of one before."""
     seen: set[tuple] = set()
@@ -63,6 +83,7 @@ class Model:
     cut: float
     window: int
     threshold: float
+    power: float = 0.0
 
 
 class Scorer:
@@ -85,7 +106,7 @@ class Scorer:
         if got is None:
             if len(self.known) > KNOWN:
                 self.known.clear()
-            line = b" " + window + b" " + self.model.ballast
+            line = b" " + chains(window.split()) + b" " + self.model.ballast
             a, b = (len(p(line)) - n for p, n in zip(self.pack, self.bare, strict=True))
             got = self.known[window] = (a - b) / max(a, 1)
         return got
@@ -98,7 +119,7 @@ class Scorer:
     def score(self, text: bytes) -> float:
         if not self.model.toxic or not text:
             return 0.0
-        s = self.sum(text)
+        s = self.sum(text) / len(text) ** self.model.power
         return s / (s + self.model.threshold)
 
 
@@ -112,14 +133,14 @@ def scorer(model: Model) -> Scorer:
     return _scorers[model]
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], window: int = 1, size: int = 1 << 14, cut: float = 0.4) -> Model:
-    """Dictionaries from three quarters of the texts, the threshold from the others."""
+def train(toxic: list[bytes], ordinary: list[bytes], window: int = 1, size: int = 1 << 14, cuts: tuple[float, ...] = (0.4, 0.3, 0.2), powers: tuple[float, ...] = (0.0, 0.2, 0.4)) -> Model:
+    """Dictionaries from three quarters of the texts; cut, power and threshold, those with the fewest errors, from the others."""
     import zstandard
 
     part = lambda texts, held: [t for t in texts if (zlib.crc32(t) % 4 == 0) == held]
     bad, good = distinct(part(toxic, False)), distinct(part(ordinary, False))
     if not bad or not good:
-        return Model(b"", b"", b"", cut, window, 1.0)
+        return Model(b"", b"", b"", cuts[0], window, 1.0)
     count: list[Counter] = [Counter(), Counter()]
     for which, texts in enumerate((bad, good)):
         for t in texts:
@@ -130,33 +151,40 @@ def train(toxic: list[bytes], ordinary: list[bytes], window: int = 1, size: int
         marks = {g for g, _ in sorted(((g, (n + 0.5) / (count[1][g] + 0.5)) for g, n in count[0].items() if n > 1), key=lambda x: (-x[1], x[0]))[:40]}
     met = Counter(w for t in bad for w in t.split() if not marks.isdisjoint(grams(w)))
     passages = [w for w, n in sorted(met.items(), key=lambda x: (-x[1], x[0])) if n > 2 or na < 200][:2000]
-    windows = [b" ".join(w[i : i + 16]) for t in good for w in [t.split()] for i in range(0, min(len(w), 800), 16)]
+    windows = [chains(w[i : i + 16]) for t in good for w in [t.split()] for i in range(0, min(len(w), 800), 16)]
     windows = [windows[i] for i in np.random.default_rng(3).permutation(len(windows))[:40_000]]
     try:
         base = zstandard.train_dictionary(size, windows).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from
         base = b" ".join(windows)[-size:]
     shuffled = np.random.default_rng(5)
-    marked = b" " + b" ".join(passages[i] for _ in range(4) for i in shuffled.permutation(len(passages))) + b" "
+    marked = b" " + chains([passages[i] for _ in range(4) for i in shuffled.permutation(len(passages))]) + b" "
     ballast = base[-96:]
-    model = Model(base, marked[-size:] + base, ballast, cut, window, 1.0)
-    own = Scorer(model)
-    held = [(own.sum(t), 1) for t in part(toxic, True)] + [(own.sum(t), 0) for t in part(ordinary, True)]
-    return Model(base, model.toxic, ballast, cut, window, calibrated(held, cut))
-
-
-def calibrated(held: list[tuple[float, int]], cut: float) -> float:
-    """The threshold with the fewest errors, half-way to the next value; without examples of both, twice the cut."""
+    held = [(t, 1) for t in part(toxic, True)] + [(t, 0) for t in part(ordinary, True)]
+    found = []
+    for cut in cuts:
+        model = Model(base, marked[-size:] + base, ballast, cut, window, 1.0)
+        own = Scorer(model)
+        sums = [(own.sum(t), max(1, len(t)), y) for t, y in held]
+        for power in powers:
+            wrong, threshold = calibrated([(s / n**power, y) for s, n, y in sums], cut)
+            found.append((wrong, power, -cut, threshold))
+    _, power, cut, threshold = min(found)
+    return Model(base, marked[-size:] + base, ballast, -cut, window, threshold, power)
+
+
+def calibrated(held: list[tuple[float, int]], cut: float) -> tuple[int, float]:
+    """The fewest errors and the threshold that gives them, half-way to the next value; without examples of both, the cut."""
     if len({y for _, y in held}) < 2:
-        return 2 * cut
+        return 0, cut
     s, y = (np.array(x, float) for x in zip(*held, strict=True))
     values = np.unique(s)
     middles = (values[1:] + values[:-1]) / 2
     if not len(middles):
-        return 2 * cut
+        return len(held), cut
     wrong = np.array([((s >= t) != (y == 1)).sum() for t in middles])
     best = middles[wrong == wrong.min()]
-    return float(max(best[len(best) // 2], 1e-3))
+    return int(wrong.min()), float(max(best[len(best) // 2], 1e-6))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, toxic_rows: int = 2000, ordinary_rows: int = 4000, window: int = 1) -> Model:
