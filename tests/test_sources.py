@@ -109,3 +109,95 @@ def test_streams(spark, sf, tmp_path):
     assert both.count() == want.count() and both.where("abs(value - want) > 1e-9").count() == 0
     calmeans.run_available(calmeans.windowed(stream(), "ts", ["value"], how="nanmax", width="2 days", slide="1 day"), "max_of_stream", "append", f"{tmp_path}/m")
     assert spark.table("max_of_stream").count() > 20
+
+
+def test_netcdf_round_trip(spark, tmp_path):
+    from gridloom.sources import netcdf
+
+    g = synthetic.atmosphere(spark, 3, 2, 3, 4)
+    temp = gl.Grid(g.df.select(*g.keys, "Temp"), g.axes, ("Temp",), {"units": "K"})
+    netcdf.write(temp, f"{tmp_path}/t.nc")
+    back = io.open_grid(spark, f"{tmp_path}/t.nc", "netcdf")
+    assert [a.kind for a in back.Temp.axes] == ["modeltime365", "pres", "lat", "lon"] and back.Temp.atts == {"units": "K"}
+    np.testing.assert_allclose(io.to_array(back.Temp), io.to_array(temp))
+    io.save(temp, f"{tmp_path}/p.nc", "netcdf", pack=False)
+    netcdf.write(temp, f"{tmp_path}/q.nc", pack=True)
+    np.testing.assert_allclose(io.to_array(netcdf.read(spark, f"{tmp_path}/q.nc").Temp), io.to_array(temp), atol=2e-3)
+    many = netcdf.read(spark, [f"{tmp_path}/t.nc", f"{tmp_path}/p.nc"])
+    assert many.Temp.df.count() == 2 * temp.df.count()
+    with pytest.raises(ValueError):
+        netcdf.write(temp, f"{tmp_path}/x.nc", most=5)
+
+
+def test_netcdf_records():
+    """Two record variables, interleaved and padded, as the format lays them."""
+    import struct
+
+    from gridloom.sources import netcdf
+
+    text = lambda s: struct.pack(">I", len(s)) + s.encode() + bytes(-len(s) % 4)
+    none = struct.pack(">II", 0, 0)
+    dims = struct.pack(">II", 10, 2) + text("t") + struct.pack(">I", 0) + text("x") + struct.pack(">I", 3)
+    head = lambda a, b: b"CDF\x01" + struct.pack(">I", 2) + dims + none + struct.pack(">II", 11, 2) + text("s") + struct.pack(">III", 2, 0, 1) + none + struct.pack(">III", 3, 8, a) + text("t") + struct.pack(">II", 1, 0) + none + struct.pack(">III", 6, 8, b)
+    a = len(head(0, 0))
+    buf = head(a, a + 8) + b"".join(np.array([i, i + 1, i + 2], ">i2").tobytes() + bytes(2) + np.array([i * 0.5], ">f8").tobytes() for i in (10, 20))
+    h = netcdf.header(buf)
+    assert h.record_size == 16 and h.dims == {"t": 2, "x": 3}
+    assert netcdf.values(buf, h, "s").tolist() == [[10, 11, 12], [20, 21, 22]] and netcdf.values(buf, h, "t").tolist() == [5.0, 10.0]
+
+
+def grib_message(values, lat, lon, level, day, bits=12, holes=(), gaussian=0):
+    """A message packed by plain arithmetic."""
+    n24, sign = (lambda x: int(x).to_bytes(3, "big")), lambda x, n: (abs(int(x)) | ((x < 0) << (8 * n - 1))).to_bytes(n, "big")
+    flat = values.ravel()
+    keep = np.array([i not in holes for i in range(flat.size)])
+    low = np.floor(flat[keep].min())
+    e = int(np.ceil(np.log2(max((flat[keep].max() - low) / (2**bits - 1), 1e-9))))
+    x = np.round((flat[keep] - low) / 2.0**e).astype(int)
+    stream = "".join(format(k, f"0{bits}b") for k in x)
+    unused = -len(stream) % 16
+    stream += "0" * unused
+    packed = int(stream, 2).to_bytes(len(stream) // 8, "big")
+    power = 64
+    m = abs(low)
+    while m >= 1:
+        m, power = m / 16, power + 1
+    ref = bytes([power | (0x80 if low < 0 else 0)]) + int(m * 2**24).to_bytes(3, "big")
+    data = sign(e, 2) + ref + bytes([bits]) + packed
+    data = n24(len(data) + 4) + bytes([unused]) + data
+    bitmap = b""
+    if holes:
+        raw = np.packbits(keep).tobytes()
+        bitmap = n24(6 + len(raw)) + bytes([-flat.size % 8, 0, 0]) + raw
+    grid = bytes([0, 255, 4 if gaussian else 0]) + len(lon).to_bytes(2, "big") + len(lat).to_bytes(2, "big") + sign(round(lat[0] * 1000), 3) + sign(round(lon[0] * 1000), 3) + bytes([128]) + sign(round(lat[-1] * 1000), 3) + sign(round(lon[-1] * 1000), 3) + bytes(2) + gaussian.to_bytes(2, "big") + bytes([0]) + bytes(4)
+    grid = n24(len(grid) + 3) + grid
+    product = bytes([3, 7, 1, 255, 0x80 | (0x40 if holes else 0), 11, 100]) + level.to_bytes(2, "big") + bytes([1, 3, day, 6, 0, 1, 6, 0, 0, 0, 0, 0, 21, 0]) + bytes(2)
+    product = n24(28) + product
+    body = product + grid + bitmap + data + b"7777"
+    return b"GRIB" + n24(len(body) + 8) + b"\x01" + body
+
+
+def test_grib(spark, tmp_path):
+    from gridloom.sources import grib
+
+    rng = np.random.default_rng(3)
+    lat, lon = np.array([60.0, 0.0, -60.0]), np.array([0.0, 90.0, 180.0, 270.0])
+    fields = {(level, day): 250 + 30 * rng.random((3, 4)) for level in (500, 850) for day in (1, 2)}
+    (tmp_path / "a.grib").write_bytes(b"junk" + b"".join(grib_message(v, lat, lon, *k) for k, v in fields.items()))
+    d = grib.read(spark, f"{tmp_path}/a.grib", {11: "T"})
+    g = d.T
+    assert g.axis("level").kind == "pres" and g.df.count() == 48 and str(g.get().time.min()) == "2001-03-01 12:00:00"
+    got = {(int(r.level), r.time.day, r.lat, r.lon): r.T for r in g.df.collect()}
+    for (level, day), v in fields.items():
+        for i, j in np.ndindex(v.shape):
+            assert got[level, day, lat[i], lon[j]] == pytest.approx(v[i, j], abs=0.02)
+    holed = grib_message(fields[500, 1], lat, lon, 500, 1, holes=(2, 5))
+    _, _, _, v = grib.field(holed)
+    assert np.isnan(v.ravel()[[2, 5]]).all() and np.isnan(v).sum() == 2
+    negative = fields[500, 1] - 300
+    np.testing.assert_allclose(grib.field(grib_message(negative, lat, lon, 500, 1))[3], negative, atol=0.02)
+    gauss = ax.gausslat(spark, 4, -1).toPandas()["lat"].to_numpy()
+    _, la, _, _ = grib.field(grib_message(np.zeros((4, 4)) + 1, gauss, lon, 500, 1, gaussian=2))
+    np.testing.assert_allclose(la, gauss)
+    with pytest.raises(ValueError):
+        list(grib.messages(holed[:-2]))
