@@ -100,9 +100,9 @@ def sel_squeeze(spark, d):
     return out(emb(spark, d)(si_pos=10))
 
 
-@query("SELECT l_quantity, l_returnflag, l_linestatus, CASE WHEN isnan(v) THEN false ELSE v < 30000 END AS lt, isnan(v) OR v <> 30000 AS ne FROM holed WHERE l_quantity <= 8", "holed")
+@query("SELECT l_quantity, l_returnflag, l_linestatus, CASE WHEN isnan(v) THEN false ELSE v < 30000 END AS lt, isnan(v) OR v <> 30000 AS ne FROM holed", "holed")
 def cmp_mask(spark, d):
-    g = holed(spark, d)(l_quantity=(1, 8))
+    g = holed(spark, d)
     return g.df.select(*g.keys, npmath.lt(g.value, 30000).alias("lt"), npmath.ne(g.value, 30000).alias("ne"))
 
 
@@ -532,15 +532,14 @@ def shape_flatten(spark, d):
     return out(shape.flatten(emb(spark, d), "vec_id", "pos"))
 
 
-@query("SELECT l_quantity, l_returnflag, l_linestatus, round(CASE WHEN isnan(v) THEN -1 ELSE v END, 6) AS l_extendedprice FROM holed WHERE l_quantity IN (7, 8)", "holed")
+@query("SELECT l_quantity, l_returnflag, l_linestatus, round(CASE WHEN isnan(v) THEN -1 ELSE v END, 6) AS l_extendedprice FROM holed", "holed")
 def shape_fill(spark, d):
-    return out(holed(spark, d)(l_quantity=(7, 8)).fill(-1))
+    return out(holed(spark, d).fill(-1))
 
 
-@query("SELECT vec_id, (CASE WHEN pos * 6 >= 180 THEN pos * 6 - 360 ELSE pos * 6 END)::DOUBLE AS lon, round(v, 6) AS v FROM emb WHERE pos < 60 UNION ALL SELECT vec_id, 180.0, round(v, 6) FROM emb WHERE pos = 30", "emb")
+@query("SELECT vec_id, (CASE WHEN pos >= 32 THEN pos * 5.625 - 360 ELSE pos * 5.625 END)::DOUBLE AS lon, round(v, 6) AS v FROM emb UNION ALL SELECT vec_id, 180.0::DOUBLE, round(v, 6) FROM emb WHERE pos = 32", "emb")
 def shape_rotate_lon(spark, d):
-    g = emb(spark, d)(pos=(0, 59))
-    g = shape.replace_axis(g, "pos", ax.lon(), relabel=F.col("pos") * 6.0)
+    g = shape.replace_axis(emb(spark, d), "pos", ax.lon(), relabel=F.col("pos") * 5.625)
     return out(g.rotate_lon(-180.0, duplicate=True))
 
 
@@ -564,9 +563,9 @@ def dataset_map(spark, d):
     return s["l_extendedprice"].df.join(s["l_tax"].df, "l_returnflag").select("l_returnflag", F.round("l_extendedprice", 3).alias("l_extendedprice"), F.round("l_tax", 6).alias("l_tax"))
 
 
-@query("SELECT vec_id, pos::BIGINT AS pos, round(7 * ln(1000.0 / (pos * 10 + 10)), 6) AS z, (CASE WHEN pos < 9 THEN (pos * 10 + 10)::INT::VARCHAR ELSE (pos * 10 + 10)::INT::VARCHAR END) || ' hPa' AS label FROM emb WHERE vec_id < 5", "emb")
+@query("SELECT vec_id, pos::BIGINT AS pos, round(7 * ln(1000.0 / (pos * 10 + 10)), 6) AS z, (pos * 10 + 10)::INT::VARCHAR || ' hPa' AS label FROM emb", "emb")
 def shape_pressure(spark, d):
-    g = emb(spark, d).df.where("vec_id < 5").withColumn("pres", F.col("pos") * 10.0 + 10)
+    g = emb(spark, d).df.withColumn("pres", F.col("pos") * 10.0 + 10)
     return out(g.select("vec_id", "pos", ax.log_pressure(F.col("pres")).alias("z"), ax.formatted(ax.pres(), F.col("pres"), "%d").alias("label")))
 
 
