@@ -330,7 +330,7 @@ def cal_climtrend(spark, d):
     return out(g.df.select("month", "day", "flag", rounded(npmath.back(F.col("intercept")), 3).alias("intercept"), rounded(npmath.back(F.col("slope")) * 1e6, 4).alias("slope")))
 
 
-@query(f"WITH {grids.SQL['li']}, {_TREND}, c AS (SELECT m, dd, flag, regr_intercept(v, x) AS b, regr_slope(v, x) AS a FROM t GROUP BY 1, 2, 3), x AS (SELECT DISTINCT day, m, dd, x FROM t) SELECT x.day AS time, c.flag, round(c.a * x.x + c.b, 3) AS trend FROM x JOIN c ON x.m = c.m AND x.dd = c.dd WHERE c.a IS NOT NULL")
+@query(f"WITH {grids.SQL['li']}, {_TREND}, c AS (SELECT m, dd, flag, regr_intercept(v, x) AS b, regr_slope(v, x) AS a FROM t GROUP BY 1, 2, 3), x AS (SELECT DISTINCT day, m, dd, x FROM t) SELECT x.day AS time, c.flag, round(c.a * x.x + c.b, 3) AS trend FROM x JOIN c ON x.m = c.m AND x.dd = c.dd WHERE c.a IS NOT NULL AND NOT isnan(c.a)")
 def cal_from_trend(spark, d):
     g = li_day(spark, d)
     trend = g.climtrend("day")
@@ -470,7 +470,8 @@ def win_lag(spark, d):
     return out(li_day(spark, d).lag("day", [-2, 0, 3]))
 
 
-@query("""SELECT e.n::BIGINT AS event, o.o::BIGINT AS "offset", f.flag, round(coalesce(l.v, 'NaN'::DOUBLE), 6) AS v FROM (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM li WHERE day(day) = 29 AND month(day) = 2)) e CROSS JOIN (SELECT unnest(range(-3, 7)) AS o) o CROSS JOIN (SELECT DISTINCT flag FROM li) f LEFT JOIN li l ON l.day = e.day + o.o::INT AND l.flag = f.flag""", "li")
+@query(f"""WITH {grids.SQL['li']}, axis AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT day FROM li)), e AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM axis WHERE day(day) = 29 AND month(day) = 2)
+SELECT e.n::BIGINT AS event, o.o::BIGINT AS "offset", f.flag, round(coalesce(l.v, 'NaN'::DOUBLE), 6) AS v FROM e CROSS JOIN (SELECT unnest(range(-3, 7)) AS o) o CROSS JOIN (SELECT DISTINCT flag FROM li) f LEFT JOIN axis x ON x.i = e.i + o.o LEFT JOIN li l ON l.day = x.day AND l.flag = f.flag""")
 def win_composite(spark, d):
     g = li_day(spark, d)
     events = g.dimension("day").where((F.month("day") == 2) & (F.dayofmonth("day") == 29))
