@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from ..axes import Axis
 from ..functions import calendar
 from ..grid import Grid, common_atts
 
-#: Dimension tables up to this long are snapped on the driver; longer ones must have equal coordinates.
+#: Dimension tables up to this long are snapped on the driver, longer ones in tables, with the same result.
 SNAP = 200_000
 
 
@@ -51,6 +51,28 @@ def _snap(small: list, large: list, rtol: float) -> dict:
     return out
 
 
+def _snapped(small: DataFrame, large: DataFrame, col: str, rtol: float) -> DataFrame:
+    """_snap in tables, (col, __to): both sides sorted by ranges; a range's neighbours outside it come from the ranges' ends."""
+    from .modes import _cut
+
+    v = F.col(col).cast("double")
+    both = large.select(v.alias("__y"), F.lit(0).alias("__side")).unionByName(small.select(v.alias("__y"), F.lit(1).alias("__side"))).where("__y is not null and not isnan(__y)")
+    ranged = _cut(both.repartitionByRange("__y").withColumn("__part", F.spark_partition_id()))
+    x = F.when(F.col("__side") == 0, F.col("__y"))
+    ends = sorted(ranged.groupBy("__part").agg(F.min(x), F.max(x)).collect())
+    outer = []
+    for k, (part, _, _) in enumerate(ends):
+        outer.append((part, next((e[2] for e in reversed(ends[:k]) if e[2] is not None), None), next((e[1] for e in ends[k + 1 :] if e[1] is not None), None)))
+    beyond = small.sparkSession.createDataFrame(outer, "__part int, __before double, __after double")
+    up = Window.partitionBy("__part").orderBy("__y", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("__part").orderBy(F.desc("__y"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.withColumns({"__lo": F.last(x, ignorenulls=True).over(up), "__hi": F.last(x, ignorenulls=True).over(down)}).where("__side = 1").join(F.broadcast(beyond), "__part")
+    held = held.select("__y", F.coalesce("__lo", "__before").alias("__lo"), F.coalesce("__hi", "__after").alias("__hi"))
+    far = F.col("__lo").isNull() | (F.col("__hi") - F.col("__y") < F.col("__y") - F.col("__lo"))
+    held = held.select(F.col("__y").alias(col), F.when(far, F.col("__hi")).otherwise(F.col("__lo")).alias("__to"))
+    return held.where(F.abs(F.col("__to") - F.col(col)) <= F.lit(rtol) * F.abs("__to") + F.lit(1e-300))
+
+
 def _check(n: int, m: int, met: int, name: str) -> None:
     if met < min(n, m):
         raise ValueError(f"axis {name}: {n} and {m} coordinates meet in {met} only; one must hold all of the other's")
@@ -89,6 +111,8 @@ def aligned(a: Grid, b: Grid, check: bool = True) -> tuple[DataFrame, tuple[Axis
 
 
 def _reconciled(left: DataFrame, right: DataFrame, axis: Axis, check: bool) -> DataFrame:
+    from .modes import _cut
+
     cols = list(axis.columns)
     one, two = left.select(*cols).distinct(), right.select(*cols).distinct()
     floating = len(cols) == 1 and isinstance(left.schema[cols[0]].dataType, (T.DoubleType, T.FloatType))
@@ -103,6 +127,11 @@ def _reconciled(left: DataFrame, right: DataFrame, axis: Axis, check: bool) -> D
             names = left.sparkSession.createDataFrame(list(moved.items()), f"`{cols[0]}` double, __to double")
             right = right.join(names, cols, "left").withColumn(cols[0], F.coalesce("__to", cols[0])).drop("__to")
         return right
+    if floating:
+        to = _cut(_snapped(two, one, cols[0], axis.rtol))
+        if check:
+            _check(n, m, to.select("__to").distinct().count(), axis.name)
+        return right.join(to, cols, "left").withColumn(cols[0], F.coalesce("__to", cols[0])).drop("__to")
     if check:
         _check(n, m, one.join(two, cols).count(), axis.name)
     return right
@@ -125,8 +154,6 @@ def binary(a: Grid, b, f, name: str | None = None, check: bool = True) -> Grid:
 
 def asof(left: DataFrame, right: DataFrame, key: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Each row of `left` with `columns` of the last row of `right` whose key isn't greater (of equal keys one)."""
-    from pyspark.sql import Window
-
     by = by or []
     both = left.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(f"__{c}") for c in columns], F.lit(1).alias("__side"))
     other = right.select(*[F.col(c) if c == key or c in by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], *[F.col(c).alias(f"__{c}") for c in columns], F.lit(0).alias("__side"))

@@ -187,3 +187,20 @@ def test_asof(spark):
 def test_pandas_in_and_out(spark):
     g = io.from_pandas(spark, pd.DataFrame({"x": [0, 1], "v": [1.0, 2.0]}), [ax.Axis("x", "index")], "v")
     assert io.to_arrow(g).num_rows == 2 and g.load().get()["v"].tolist() == [1.0, 2.0]
+
+
+@pytest.mark.parametrize("snap", [200_000, 0])
+def test_tolerance_holds_above_the_driver_bound(spark, monkeypatch, snap):
+    monkeypatch.setattr(align, "SNAP", snap)
+    near = [i * 0.1 * (1 + (-1) ** i * 1e-7) for i in range(-150, 150)]
+
+    def of(xs):
+        return gl.grid(spark.createDataFrame([(float(x), float(k)) for k, x in enumerate(xs)], "x double, v double"), [ax.Axis("x", "xaxis")], "v")
+
+    xs = [i * 0.1 for i in range(-150, 150)]
+    got = align.binary(of(xs), of(near), lambda a, b: a * b).df.orderBy("x").collect()
+    assert [(r.x, r.v) for r in got] == [(x, float(k * k)) for k, x in enumerate(xs)]
+    loose = align.binary(of(xs), of([*near[:100], 3.05, 900.0]), lambda a, b: a + b, check=False).df.collect()
+    assert sorted(r.x for r in loose) == xs[:100]
+    with pytest.raises(ValueError):
+        align.binary(of(xs), of([*near[:100], 3.05, 900.0]), lambda a, b: a + b)
