@@ -157,6 +157,50 @@ def _subspace(cells: DataFrame, nc: int, k: int, tol: float = 1e-6, rounds: int
     return held.join(F.broadcast(turn), "order").groupBy("__c", F.col("o2").alias("order")).agg(F.sum(F.col("__x") * F.col("w")).alias("__x"))
 
 
+def _times(cells: DataFrame, held: DataFrame, key: str, to: str) -> DataFrame:
+    """(to, order, x): the matrix of cells, or its transpose, times a table over `key`."""
+    return cells.join(held, key).groupBy(to, "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("__x"))
+
+
+def _coupled(xa: DataFrame, xb: DataFrame, nb: int, n: int, k: int, tol: float = 1e-10, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
+    """Leading singular vectors and values of the cross-covariance by subspace iteration, the two tables of patterns
+    alternating, and the sum of squares of all singular values."""
+    spark, xa, xb = xa.sparkSession, _cut(xa), _cut(xb)
+    to_left = lambda held: _times(xa, _times(xb, held, "__c", "__r"), "__r", "__c")
+    to_right = lambda held: _times(xb, _times(xa, held, "__c", "__r"), "__r", "__c")
+    start = spark.range(nb).select(F.col("id").cast("int").alias("__c"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("order")).withColumn("__x", F.pmod(F.xxhash64("__c", "order"), F.lit(1 << 30)) / (1 << 29) - 1)
+    held, before = _cut(_orthonormal(start, k)), None
+    for _ in range(rounds):
+        left = _cut(to_left(held))
+        m = np.zeros((k, k))
+        for r in left.join(left.withColumnsRenamed({"order": "o2", "__x": "x2"}), "__c").groupBy("order", "o2").agg(F.sum(F.col("__x") * F.col("x2")).alias("p")).collect():  # k * k numbers
+            m[r.order - 1, r.o2 - 1] = r.p
+        val, vec = np.linalg.eigh(m)
+        val, vec = val[::-1], vec[:, ::-1]
+        if before is not None and np.allclose(val, before, rtol=tol, atol=tol * val[0]):
+            break
+        before = val
+        held = _cut(_orthonormal(to_right(left), k))
+    else:
+        raise ValueError(f"no convergence in {rounds} rounds")
+    sizes = np.sqrt(np.maximum(val, 1e-300))
+
+    def turned(table: DataFrame, by: np.ndarray) -> DataFrame:
+        turn = spark.createDataFrame([(i + 1, j + 1, float(by[i, j])) for i in range(k) for j in range(k)], "order int, o2 int, w double")
+        return table.join(F.broadcast(turn), "order").groupBy("__c", F.col("o2").alias("order")).agg(F.sum(F.col("__x") * F.col("w")).alias("__x"))
+
+    if n <= EXPLICIT:
+        total = float((gram(xa, "__c", "__r", n) * gram(xb, "__c", "__r", n)).sum())
+    else:
+        one, two = xa.select("__r", F.col("__c").alias("i"), F.col("__v").alias("a")), xb.select("__r", F.col("__c").alias("j"), F.col("__v").alias("b"))
+        total = one.join(two, "__r").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0]
+    scale = max(n - 1, 1)
+    left, right = turned(left, vec / sizes), turned(held, vec)
+    flip = left.where("__c = 0").select("order", F.when(F.col("__x") < 0, -1.0).otherwise(1.0).alias("__f"))
+    left, right = (_cut(t.join(F.broadcast(flip), "order").select("__c", "order", (F.col("__x") * F.col("__f")).alias("__x"))) for t in (left, right))
+    return left, right, sizes / scale, total / scale**2
+
+
 @dataclass(frozen=True)
 class Coupled:
     left: Grid
@@ -166,20 +210,8 @@ class Coupled:
     eig: DataFrame
 
 
-def svd(a: Grid, b: Grid, num_modes: int = 4, along=("time",), weights=True, matrix: str = "cov") -> Coupled:
-    """Coupled patterns of two grids over shared rows: singular vectors of their cross-covariance (`cor`: correlation)."""
-    axes = [a.axis(x) for x in along]
-    sides = []
-    for g in (a, b):
-        cells, _, ctab, rows, columns = _matrix(g, [g.axis(x.name) for x in axes], weights)
-        w = Window.partitionBy("__c")
-        v = F.col("__v") - F.avg("__v").over(w)
-        cells = cells.withColumn("__v", v / F.nullif(F.stddev_samp("__v").over(w), F.lit(0.0)) if matrix == "cor" else v)
-        sides.append((g, cells, ctab, rows, columns))
-    (_, xa, ca, rows, cola), (_, xb, cb, _, colb) = sides
-    na, nb, n = ca.count(), cb.count(), xa.agg(F.count_distinct("__r")).first()[0]
-    if max(na, nb) > EXPLICIT:
-        raise ValueError(f"patterns of {max(na, nb)} cells: reduce to {EXPLICIT} leading modes with eof() first")
+def _cross(xa: DataFrame, xb: DataFrame, na: int, nb: int) -> np.ndarray:
+    """Sums over the rows of the products of two columns, one of either side."""
     lines = xa.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("__c", "__v"))).alias("p")).join(xb.groupBy("__r").agg(F.array_sort(F.collect_list(F.struct("__c", "__v"))).alias("q")), "__r")
 
     def partial(batches):
@@ -204,9 +236,28 @@ def svd(a: Grid, b: Grid, num_modes: int = 4, along=("time",), weights=True, mat
     summed = lines.select("p", "q").mapInArrow(partial, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "__x")).groupBy("i", "j").agg(F.sum("__x").alias("__x"))
     for r in summed.toLocalIterator():
         cross[r.i, r.j] = r["__x"]
-    u, s, vt = np.linalg.svd(cross / max(n - 1, 1), full_matrices=False)
-    sign = np.where(u[0, :num_modes] < 0, -1.0, 1.0)
-    left, right = _table(a, u[:, :num_modes] * sign, "__c"), _table(a, vt[:num_modes].T * sign, "__c")
+    return cross
+
+
+def svd(a: Grid, b: Grid, num_modes: int = 4, along=("time",), weights=True, matrix: str = "cov") -> Coupled:
+    """Coupled patterns of two grids over shared rows: singular vectors of their cross-covariance (`cor`: correlation)."""
+    axes = [a.axis(x) for x in along]
+    sides = []
+    for g in (a, b):
+        cells, _, ctab, rows, columns = _matrix(g, [g.axis(x.name) for x in axes], weights)
+        w = Window.partitionBy("__c")
+        v = F.col("__v") - F.avg("__v").over(w)
+        cells = cells.withColumn("__v", v / F.nullif(F.stddev_samp("__v").over(w), F.lit(0.0)) if matrix == "cor" else v)
+        sides.append((g, cells, ctab, rows, columns))
+    (_, xa, ca, rows, cola), (_, xb, cb, _, colb) = sides
+    na, nb, n = ca.count(), cb.count(), xa.agg(F.count_distinct("__r")).first()[0]
+    if max(na, nb) > EXPLICIT:
+        left, right, s, total = _coupled(xa, xb, nb, n, min(num_modes, na, nb))
+    else:
+        u, s, vt = np.linalg.svd(_cross(xa, xb, na, nb) / max(n - 1, 1), full_matrices=False)
+        sign = np.where(u[0, :num_modes] < 0, -1.0, 1.0)
+        left, right = _table(a, u[:, :num_modes] * sign, "__c"), _table(a, vt[:num_modes].T * sign, "__c")
+        total = (s**2).sum()
     order = Axis("order", "order")
     out = []
     for (g, cells, ctab, rows, columns), pattern in zip(sides, (left, right), strict=True):
@@ -215,5 +266,5 @@ def svd(a: Grid, b: Grid, num_modes: int = 4, along=("time",), weights=True, mat
         rtab = g.df.select(*rows).distinct().withColumn("__r", F.row_number().over(Window.orderBy(*rows)) - 1)
         pcs = cells.join(pattern, "__c").groupBy("__r", "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("pc")).join(rtab, "__r").select("order", *rows, "pc")
         out.append((Grid(eofs, (order, *[x for x in g.axes if x not in own]), ("eof",), {}), Grid(pcs, (order, *own), ("pc",), {})))
-    eig = a.spark.createDataFrame([(i + 1, float(x), float(x * x / (s**2).sum())) for i, x in enumerate(s[:num_modes])], "order int, eig double, frac double")
+    eig = a.spark.createDataFrame([(i + 1, float(x), float(x * x / total)) for i, x in enumerate(s[:num_modes])], "order int, eig double, frac double")
     return Coupled(out[0][0], out[1][0], out[0][1], out[1][1], eig)

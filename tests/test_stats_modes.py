@@ -121,3 +121,18 @@ def test_svd_of_a_grid_with_itself(spark):
     want = np.linalg.svd(np.cov(m.T))[1][:3]
     np.testing.assert_allclose(c.eig.orderBy("order").toPandas().eig, want)
     assert modes.svd(g, g, 2, matrix="cor").eig.count() == 2
+
+
+def test_svd_beyond_the_driver_bound(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    shared = rng.normal(size=(20, 2)) * [5, 2]
+    one, two = (shared @ rng.normal(size=(2, n)) + 0.05 * rng.normal(size=(20, n)) for n in (6, 4))
+    a, b = (io.from_arrays(spark, m, [ax.time("time", "modeltime365"), ax.Axis("x", "xaxis")], [range(20), range(m.shape[1])]) for m in (one, two))
+    want = modes.svd(a, b, 2)
+    pulled = [(g.df.orderBy(*g.keys).toPandas().to_numpy(float)) for g in (want.left, want.right, want.left_pc, want.right_pc)]
+    eig = want.eig.orderBy("order").toPandas().to_numpy(float)
+    monkeypatch.setattr(modes, "EXPLICIT", 5)  # fewer than the columns, and than the rows
+    got = modes.svd(a, b, 2)
+    for g, x in zip((got.left, got.right, got.left_pc, got.right_pc), pulled, strict=True):
+        np.testing.assert_allclose(g.df.orderBy(*g.keys).toPandas().to_numpy(float), x, atol=1e-4)
+    np.testing.assert_allclose(got.eig.orderBy("order").toPandas().to_numpy(float), eig, rtol=1e-6)
