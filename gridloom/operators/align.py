@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..axes import Axis
 from ..functions import calendar
 from ..grid import Grid, common_atts
+from ..shared import stored
 
 #: Dimension tables up to this long are snapped on the driver, longer ones in tables, with the same result.
 SNAP = 200_000
@@ -53,11 +54,9 @@ def _snap(small: list, large: list, rtol: float) -> dict:
 
 def _snapped(small: DataFrame, large: DataFrame, col: str, rtol: float) -> DataFrame:
     """_snap in tables, (col, __to): both sides sorted by ranges; a range's neighbours outside it come from the ranges' ends."""
-    from .modes import _cut
-
     v = F.col(col).cast("double")
     both = large.select(v.alias("__y"), F.lit(0).alias("__side")).unionByName(small.select(v.alias("__y"), F.lit(1).alias("__side"))).where("__y is not null and not isnan(__y)")
-    ranged = _cut(both.repartitionByRange("__y").withColumn("__part", F.spark_partition_id()))
+    ranged = stored(both.repartitionByRange("__y").withColumn("__part", F.spark_partition_id()))
     x = F.when(F.col("__side") == 0, F.col("__y"))
     ends = sorted(ranged.groupBy("__part").agg(F.min(x), F.max(x)).collect())
     outer = []
@@ -111,8 +110,6 @@ def aligned(a: Grid, b: Grid, check: bool = True) -> tuple[DataFrame, tuple[Axis
 
 
 def _reconciled(left: DataFrame, right: DataFrame, axis: Axis, check: bool) -> DataFrame:
-    from .modes import _cut
-
     cols = list(axis.columns)
     one, two = left.select(*cols).distinct(), right.select(*cols).distinct()
     floating = len(cols) == 1 and isinstance(left.schema[cols[0]].dataType, (T.DoubleType, T.FloatType))
@@ -128,7 +125,7 @@ def _reconciled(left: DataFrame, right: DataFrame, axis: Axis, check: bool) -> D
             right = right.join(names, cols, "left").withColumn(cols[0], F.coalesce("__to", cols[0])).drop("__to")
         return right
     if floating:
-        to = _cut(_snapped(two, one, cols[0], axis.rtol))
+        to = stored(_snapped(two, one, cols[0], axis.rtol))
         if check:
             _check(n, m, to.select("__to").distinct().count(), axis.name)
         return right.join(to, cols, "left").withColumn(cols[0], F.coalesce("__to", cols[0])).drop("__to")

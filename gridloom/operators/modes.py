@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..axes import Axis
 from ..functions.npmath import num
 from ..grid import Grid
+from ..shared import stored
 from .reduce import weight
 
 #: Sides up to this long are solved on the driver.
@@ -125,24 +126,17 @@ def _orthonormal(table: DataFrame, k: int) -> DataFrame:
     return table.join(F.broadcast(turn), "order").groupBy("__c", F.col("o2").alias("order")).agg(F.sum(F.col("__x") * F.col("w")).alias("__x"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def _subspace(cells: DataFrame, nc: int, k: int, tol: float = 1e-6, rounds: int = ROUNDS) -> DataFrame:
     """Leading right singular vectors by subspace iteration, all state in tables."""
     spark = cells.sparkSession
     start = spark.range(nc).select(F.col("id").cast("int").alias("__c"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("order")).withColumn("__x", F.pmod(F.xxhash64("__c", "order"), F.lit(1 << 30)) / (1 << 29) - 1)
-    held = _cut(_orthonormal(start, k))
+    held = stored(_orthonormal(start, k))
     before = None
     for _ in range(rounds):
         up = cells.join(held, "__c").groupBy("__r", "order").agg(F.sum(F.col("__v") * F.col("__x")).alias("__p"))
-        down = _cut(cells.join(up, "__r").groupBy("__c", "order").agg(F.sum(F.col("__v") * F.col("__p")).alias("__x")))
+        down = stored(cells.join(up, "__r").groupBy("__c", "order").agg(F.sum(F.col("__v") * F.col("__p")).alias("__x")))
         sizes = np.array([r.n for r in down.groupBy("order").agg(F.sqrt(F.sum(F.col("__x") * F.col("__x"))).alias("n")).orderBy("order").collect()])
-        held = _cut(_orthonormal(down, k))
+        held = stored(_orthonormal(down, k))
         if before is not None and np.allclose(sizes, before, rtol=tol, atol=0):
             break
         before = sizes
@@ -165,13 +159,13 @@ def _times(cells: DataFrame, held: DataFrame, key: str, to: str) -> DataFrame:
 def _coupled(xa: DataFrame, xb: DataFrame, nb: int, n: int, k: int, tol: float = 1e-10, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, np.ndarray, float]:
     """Leading singular vectors and values of the cross-covariance by subspace iteration, the two tables of patterns
     alternating, and the sum of squares of all singular values."""
-    spark, xa, xb = xa.sparkSession, _cut(xa), _cut(xb)
+    spark, xa, xb = xa.sparkSession, stored(xa), stored(xb)
     to_left = lambda held: _times(xa, _times(xb, held, "__c", "__r"), "__r", "__c")
     to_right = lambda held: _times(xb, _times(xa, held, "__c", "__r"), "__r", "__c")
     start = spark.range(nb).select(F.col("id").cast("int").alias("__c"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("order")).withColumn("__x", F.pmod(F.xxhash64("__c", "order"), F.lit(1 << 30)) / (1 << 29) - 1)
-    held, before = _cut(_orthonormal(start, k)), None
+    held, before = stored(_orthonormal(start, k)), None
     for _ in range(rounds):
-        left = _cut(to_left(held))
+        left = stored(to_left(held))
         m = np.zeros((k, k))
         for r in left.join(left.withColumnsRenamed({"order": "o2", "__x": "x2"}), "__c").groupBy("order", "o2").agg(F.sum(F.col("__x") * F.col("x2")).alias("p")).collect():  # k * k numbers
             m[r.order - 1, r.o2 - 1] = r.p
@@ -180,7 +174,7 @@ def _coupled(xa: DataFrame, xb: DataFrame, nb: int, n: int, k: int, tol: float =
         if before is not None and np.allclose(val, before, rtol=tol, atol=tol * val[0]):
             break
         before = val
-        held = _cut(_orthonormal(to_right(left), k))
+        held = stored(_orthonormal(to_right(left), k))
     else:
         raise ValueError(f"no convergence in {rounds} rounds")
     sizes = np.sqrt(np.maximum(val, 1e-300))
@@ -197,7 +191,7 @@ def _coupled(xa: DataFrame, xb: DataFrame, nb: int, n: int, k: int, tol: float =
     scale = max(n - 1, 1)
     left, right = turned(left, vec / sizes), turned(held, vec)
     flip = left.where("__c = 0").select("order", F.when(F.col("__x") < 0, -1.0).otherwise(1.0).alias("__f"))
-    left, right = (_cut(t.join(F.broadcast(flip), "order").select("__c", "order", (F.col("__x") * F.col("__f")).alias("__x"))) for t in (left, right))
+    left, right = (stored(t.join(F.broadcast(flip), "order").select("__c", "order", (F.col("__x") * F.col("__f")).alias("__x"))) for t in (left, right))
     return left, right, sizes / scale, total / scale**2
 
 

@@ -12,6 +12,7 @@ from ..functions import calendar, npmath
 from ..grid import Dataset, Grid, grid
 from ..operators import align, calagg, modes, reduce, sets, shape, stats, windowed
 from ..operators import select as sel
+from ..shared import named
 from ..sources import cf
 from ..streaming import calmeans
 from . import grids
@@ -712,6 +713,5 @@ def stream_daily_mean(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
     means = calmeans.windowed(stream, "ts", ["value"], ["event_type"], late="60 days")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    calmeans.run_available(means, name, "complete", f"{root}/{name}")
+    calmeans.run_available(means, name, "complete", named(spark, name))
     return out(spark.table(name).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("day"), "value"))
