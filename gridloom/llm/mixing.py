@@ -27,7 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..shared import stored
+
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -76,12 +77,12 @@ def allotted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """doc_id, draw, size, source_size, target, and what the mix takes of each row: `rounds` times the whole, words
     from a1 up to b1, and words from a2 up to b2."""
     sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), draw_of(id_col, text_col, source_col, seed).alias("draw"))
-    sized = checkpointed(sized)  # the texts are read once
+    sized = stored(sized)  # the texts are read once
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeat)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sources = sources.withColumn("__blocks", F.round(F.sum("source_size").over(whole) / block).cast("long"))
     sources = apportion(sources, F.col("__blocks"), "target", ["source"], [])
-    sources = checkpointed(sources.select("source", "source_size", "target", F.col("quota").alias("__quota"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("__shards")))
+    sources = stored(sources.select("source", "source_size", "target", F.col("quota").alias("__quota"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("__shards")))
     to = sources.select(F.col("source").alias("__source"), "source_size", "target", "__quota", "__shards")
     placed = sized.join(to, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.col("__shards")))
     shards = placed.groupBy("source", "__shard").agg(F.sum("size").alias("__length"), F.max("__quota").alias("__quota"))

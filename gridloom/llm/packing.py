@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, steps, stored, utf8
+from ..shared import stored
+from .common import mix64, steps, utf8
 
 LENGTH, END, DIMS, BITS = 2048, 1, 3, 16
 _BUCKETS = 4096

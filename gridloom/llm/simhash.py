@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, steps, utf8
+from ..shared import stored
+from .common import steps, utf8
 
 SEED, LANES = 42, np.uint64(0x0101010101010101)
 #: A bucket with more fingerprints is dealt out in blocks of this many.
@@ -196,7 +197,7 @@ def links(fps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
         if len(key):
             yield _batch(*_bucket_edges(key, fp, radius), False)
 
-    first = checkpointed(signatures.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long, late boolean"))
+    first = stored(signatures.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long, late boolean"))
     found = first.where(~F.col("late")).select("a", "b")
     late = first.where("late").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     blocks = late.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (most // 2)).cast("int").alias("blocks"))
@@ -215,7 +216,7 @@ def links(fps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) to (node, root), root the smallest node of the component; alternating large and small stars."""
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -227,13 +228,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
 
 
 def grouped(rows: DataFrame, id_col: str = "doc_id", radius: int = 4) -> DataFrame:
     """Adds component_id to rows of (id, fp, ...)."""
-    fps = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("__least")))
-    roots = checkpointed(components(links(fps.select("fp"), radius)))
+    fps = stored(rows.groupBy("fp").agg(F.min(id_col).alias("__least")))
+    roots = stored(components(links(fps.select("fp"), radius)))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"), F.col("root").isNotNull().alias("__linked"))
     least = named.where("__linked").groupBy("__root").agg(F.min("__least").alias("__all"))
     known = named.join(least, "__root", "left").select("fp", F.when(F.col("__linked"), F.col("__all")).otherwise(F.col("__least")).alias("component_id"))
@@ -242,7 +243,7 @@ def grouped(rows: DataFrame, id_col: str = "doc_id", radius: int = 4) -> DataFra
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
-    rows = checkpointed(fingerprinted(df, id_col, text_col, width))
+    rows = stored(fingerprinted(df, id_col, text_col, width))
     out = grouped(rows, id_col, radius)
     return out.select(F.col(id_col).alias("doc_id"), hexadecimal("fp").alias("fingerprint"), "component_id")
 
