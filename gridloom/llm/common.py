@@ -17,6 +17,8 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[_WHITE] = 0
+_OTHER = np.random.default_rng(77100345).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER[_WHITE] = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,17 +93,17 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """64 well-mixed bits a word; equal words, equal bits."""
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """64 well-mixed bits a word; equal words, equal bits. `other`: those of an independent function."""
         if not len(self):
             return np.zeros(0, np.uint64)
         spans = np.diff(np.append(self.start, len(self.buf)))
         lead = self.start[0]
         place = np.arange(len(self.buf) - lead) - np.repeat(self.start - lead, spans)
-        powers = np.full(int((self.end - self.start).max()) + 1, _ODD)
+        powers = np.full(int((self.end - self.start).max()) + 1, np.uint64(0xC2B2AE3D27D4EB4F) if other else _ODD)
         powers[0] = 1
         np.multiply.accumulate(powers, out=powers)
-        values = _BYTE[self.buf[lead:]]
+        values = (_OTHER if other else _BYTE)[self.buf[lead:]]
         values *= powers[np.minimum(place, len(powers) - 1)]
         sums = np.add.reduceat(values, self.start - lead)
         return mix64(sums + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

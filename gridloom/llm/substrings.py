@@ -2,19 +2,23 @@
 
 1. Sketch. A window's anchor is the smallest hash among its runs of `anchor` words, the leftmost of equals; equal
    windows at different places have equal anchors at different places. Each partition counts the places of its
-   anchors in a count-min sketch (`depth` rows of `cells` counters that stop at 2); the sketches are merged block
-   by block. A window's anchor count is never under the window's count, so a window whose counters are all 2 may
-   be repeated and any other isn't: none is lost.
-2. Exact. Only windows estimated repeated are grouped, by 96 bits of two rolling hashes of all their words, with
-   partial sums before the shuffle, so that a passage in a third of the documents is one row a partition. What
-   comes out are the windows that the sketch took for repeated and that stand alone: their document and place.
+   anchors in a count-min sketch (counters stop at 2); the sketches are merged block by block. A window's anchor count is
+   never under the window's count, so a window whose counters are all 2 may be repeated and any other isn't: none is lost.
+2. Exact. Only windows estimated repeated are grouped, by 96 bits of two rolling hashes over two independent hashes of
+   all their words, with partial sums before the shuffle, so that a passage in a third of the documents is one row a
+   partition. What comes out are the windows that the sketch took for repeated and that stand alone: their text and place.
 3. Each text is read once more: estimated windows less those alone are the repeated ones.
 
-The merged sketch is depth * cells / 8 bytes (32 MB), whatever the input, and the only thing broadcast. With more
-anchors than cells it estimates more windows repeated, and step 2 takes them all: slower, as exact.
+The sketch has 8 cells an anchor, as many as the corpus needs. Up to `most` cells (64 MB in two rows) its merged bits are
+broadcast; a larger one stays a table of cells, which the anchors meet in a join, and each text gets the places of its
+estimated anchors: the same result.
+
+Texts are told apart by 96 bits of two hashes of the whole text, not by ids: all windows of equal texts are repeated,
+so none of theirs is ever alone. Of 10**13 windows, any two different ones have the same 96 bits with probability 0.001.
 
 Defined cases: a null text has no words and stays null; shorter texts than a window keep all words; repeated rows
-remove each other's words; a null id is a value like any other; an empty table gives an empty one.
+remove each other's words; ids and other columns are never looked at, and columns named as results are replaced; texts
+are read in steps of 1 MB, a longer text in one, with some 100 bytes for each of its bytes; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, mix64, rolling, steps, utf8
+from .common import Words, buffers, rolling, steps, utf8
+from .sketch import cell, cells_for, merged, twice
 
-WIDTH, ANCHOR, CELLS, DEPTH = 35, 8, 1 << 27, 2
-_SALT = [np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
+WIDTH, ANCHOR, DEPTH = 35, 8, 2
+#: Cells of a sketch that is broadcast.
+MOST = 1 << 28
 _FACTOR, _FIRST, _SECOND = 0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
-_BLOCK = 1 << 16
-#: Anchors of a partition that are counted before they are handed on.
-_HELD = 1 << 21
 
 
 class Windows:
@@ -58,108 +61,92 @@ class Windows:
             span += step
         self.at = at[self.start]
 
-    def cells(self, places: np.ndarray, row: int, cells: int) -> np.ndarray:
-        return (mix64(self.runs[places] ^ _SALT[row]) & np.uint64(cells - 1)).astype(np.int64)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all anchors, and each window's number among them."""
+        return np.unique(self.at, return_inverse=True)
+
+    def estimated(self, part: pa.RecordBatch, bits: np.ndarray | None) -> np.ndarray:
+        """The windows that may be repeated, by their first words: by the bits, or by the places that the texts come with."""
+        places, back = self.anchors()
+        if bits is not None:
+            ok = twice(bits, self.runs[places])
+        else:
+            known = np.zeros(len(self.words) + 1, bool)
+            known[lists(part.column("__anchors"), self.words)] = True
+            ok = known[places]
+        return self.start[ok[back]] if len(places) else self.start
 
-    def estimated(self, bits: np.ndarray, cells: int) -> np.ndarray:
-        """For each window, whether every counter of its anchor is 2."""
-        places, back = np.unique(self.at, return_inverse=True)
-        ok = np.ones(len(places), bool)
-        for row in range(len(bits)):
-            c = self.cells(places, row, cells)
-            ok &= (bits[row][c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
-        return ok[back] if len(places) else np.zeros(0, bool)
 
+def lists(column: pa.Array, words: Words) -> np.ndarray:
+    """The words' numbers for lists of places in each text; null: none."""
+    sizes = np.diff(column.offsets.to_numpy()) if not column.null_count else np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[:-1], sizes)
 
-def sketch(df: DataFrame, width: int, anchor: int, cells: int, depth: int) -> np.ndarray:
-    """The merged sketch as bits, 1 for a counter of 2: depth rows of cells / 8 bytes. `df` has a binary column __text."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [[] for _ in range(depth)], 0
+def _anchors(known: DataFrame, width: int, anchor: int, cells: int) -> DataFrame:
+    """(__one, __two, __anchors): each text's anchors whose cell holds two or more, by a sketch that stays a table."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "__text"):
             w = Windows(part, "__text", width, anchor)
-            places = np.unique(w.at)
-            for row in range(depth):
-                held[row].append(w.cells(places, row, cells))
-            n += len(places)
-            if n >= _HELD:
-                yield from handed(held)
-                held, n = [[] for _ in range(depth)], 0
-        yield from handed(held)
-
-    def handed(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for row, parts in enumerate(held):
-            cell, count = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
-            if not len(cell):
-                continue
-            block = cell // _BLOCK
-            cuts = np.flatnonzero(np.diff(block, prepend=-1))
-            low = (cell % _BLOCK).astype(np.uint16)
-            out = [(row * (cells // _BLOCK) + int(block[a]), low[a:b].tobytes(), low[a:b][count[a:b] > 1].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(cell)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])], names=["block", "seen", "again"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, np.zeros(_BLOCK, np.uint8)
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()])], names=["block", "bits"])
-        for batch in batches:
-            for block, seen, again in zip(*(batch.column(k).to_pylist() for k in ("block", "seen", "again")), strict=True):
-                if block != at:
-                    if at is not None:
-                        yield done()
-                    at, counts = block, np.zeros(_BLOCK, np.uint8)
-                seen, again = np.frombuffer(seen, np.uint16), np.frombuffer(again, np.uint16)
-                counts[seen] = np.minimum(counts[seen] + 1, 2)
-                counts[again] = 2
-        if at is not None:
-            yield done()
-
-    parts = df.select("__text").mapInArrow(counted, "block int, seen binary, again binary")
-    blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, bits binary")
-    bits = np.zeros((depth, cells // 8), np.uint8)
-    per = cells // _BLOCK
-    for r in blocks.toLocalIterator():  # depth * cells / 8 bytes in all
-        at = (r.block % per) * (_BLOCK // 8)
-        bits[r.block // per, at : at + _BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
-    return bits
-
-
-def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
+            at, _ = w.anchors()
+            row = pa.array(w.words.doc[at])
+            yield pa.RecordBatch.from_arrays([part.column("__one").take(row), part.column("__two").take(row), pa.array(cell(w.runs[at], 0, cells)), pa.array((at - w.words.first[w.words.doc[at]]).astype(np.int32))], names=["__one", "__two", "cell", "place"])
+
+    own = known.select("__one", "__two", "__text").mapInArrow(places, "__one long, __two int, cell long, place int")
+    again = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    return own.join(again, "cell").groupBy("__one", "__two").agg(F.collect_set("place").alias("__anchors"))
+
+
+def repeated(df: DataFrame, text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, depth: int = DEPTH, most: int = MOST) -> DataFrame:
     """The table with n_words, n_removed, kept_sha256 and kept (the kept words joined by one space; null: null)."""
     spark = df.sparkSession
-    known = df.drop("n_words", "n_removed", "kept_sha256", "kept").withColumns({"__text": utf8(text_col), "__id": F.col(id_col), "__hash": F.hash(text_col)})
-    bits = spark.sparkContext.broadcast(sketch(known, width, anchor, cells, depth))
+    known = df.drop("n_words", "n_removed", "kept_sha256", "kept").withColumn("__text", utf8(text_col)).withColumns({"__one": F.xxhash64("__text"), "__two": F.hash("__text")})
+    size = known.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    cells = cells_for(2 * size // (6 * (width - min(anchor, width) + 2)))
+    bits = None
+    if cells <= most:
+
+        def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for part in steps(iter([batch]), "__text"):
+                w = Windows(part, "__text", width, anchor)
+                yield w.runs[w.anchors()[0]]
+
+        bits = spark.sparkContext.broadcast(merged(known.select("__text"), hashes, cells, depth)[0])
+    else:
+        known = known.join(_anchors(known, width, anchor, cells).withColumnsRenamed({"__one": "__a", "__two": "__b"}), (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")), "left").drop("__a", "__b")
+    held = lambda: None if bits is None else bits.value
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "__text"):
             w = Windows(part, "__text", width, anchor)
-            start = w.start[w.estimated(bits.value, cells)]
+            start = w.estimated(part, held())
             if not len(start):
                 continue
-            one, two = rolling(w.hash, width, _FIRST)[start], rolling(w.hash, width, _SECOND)[start]
+            one, two = rolling(w.hash, width, _FIRST)[start], rolling(w.words.hashes(other=True), width, _SECOND)[start]
             row = pa.array(w.words.doc[start])
             place = (start - w.words.first[w.words.doc[start]]).astype(np.int32)
             # windows of one slice that are alike leave it as one row
             _, first, many = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_counts=True) if len(np.unique(one)) < len(one) else (None, np.arange(len(one)), np.ones(len(one), np.int64))
+            row = row.take(pa.array(first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)[first]), pa.array((two[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("__id").take(row.take(pa.array(first))), part.column("__hash").take(row.take(pa.array(first))), pa.array(place[first]), pa.array(np.minimum(many, 2).astype(np.int32))],
-                names=["one", "two", "__id", "__hash", "place", "many"],
+                [pa.array(one.view(np.int64)[first]), pa.array((two[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("__one").take(row), part.column("__two").take(row), pa.array(place[first]), pa.array(np.minimum(many, 2).astype(np.int32))],
+                names=["one", "two", "__one", "__two", "place", "many"],
             )
 
-    id_type = known.schema["__id"].dataType.simpleString()
-    rows = known.select("__id", "__hash", "__text").mapInArrow(candidates, f"one long, two int, __id {id_type}, __hash int, place int, many int")
-    groups = rows.groupBy("one", "two").agg(F.sum("many").alias("many"), F.max("__id").alias("__id"), F.max("__hash").alias("__hash"), F.max("place").alias("place"))
-    alone = groups.where("many = 1").groupBy("__id", "__hash").agg(F.collect_list("place").alias("__alone"))
-    alone = alone.select(F.col("__id").alias("__a"), F.col("__hash").alias("__b"), "__alone")
-    joined = known.join(alone, F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__hash") == F.col("__b")), "left").drop("__a", "__b", "__id", "__hash")
+    more = ["__anchors"] if bits is None else []
+    rows = known.select("__one", "__two", "__text", *more).mapInArrow(candidates, "one long, two int, __one long, __two int, place int, many int")
+    groups = rows.groupBy("one", "two").agg(F.sum("many").alias("many"), F.max("__one").alias("__one"), F.max("__two").alias("__two"), F.max("place").alias("place"))
+    alone = groups.where("many = 1").groupBy("__one", "__two").agg(F.collect_list("place").alias("__alone"))
+    alone = alone.select(F.col("__one").alias("__a"), F.col("__two").alias("__b"), "__alone")
+    joined = known.join(alone, (F.col("__one") == F.col("__a")) & (F.col("__two") == F.col("__b")), "left").drop("__a", "__b", "__one", "__two")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "__text"):
             w = Windows(part, "__text", width, anchor)
-            places = part.column("__alone")
             lone = np.zeros(len(w.words) + 1, bool)
-            of = np.repeat(w.words.first[:-1], np.nan_to_num(np.asarray(pa.compute.list_value_length(places).to_numpy(zero_copy_only=False), float)).astype(np.int64))
-            lone[places.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + of] = True
-            start = w.start[w.estimated(bits.value, cells)]
+            lone[lists(part.column("__alone"), w.words)] = True
+            start = w.estimated(part, held())
             start = start[~lone[start]]
             edge = np.zeros(len(w.words) + 1, np.int64)
             np.add.at(edge, start, 1)
@@ -173,11 +160,11 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             for i, t in enumerate(texts):
                 own = t.split()
                 left.append(b" ".join(own if not removed[i] else [x for x, g in zip(own, gone[first[i] : first[i + 1]], strict=True) if not g]))
-            out = {k: c for k, c in zip(part.schema.names, part.columns, strict=True) if k not in ("__alone", "__text")}
+            out = {k: c for k, c in zip(part.schema.names, part.columns, strict=True) if k not in ("__alone", "__text", "__anchors")}
             out |= {"n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left]), "kept": pa.array(left, pa.binary())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    fields = [f for f in joined.schema if f.name not in ("__alone", "__text")]
+    fields = [f for f in joined.schema if f.name not in ("__alone", "__text", "__anchors")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_words long, n_removed long, kept_sha256 string, kept binary"
     done = joined.mapInArrow(kept, schema)
     return done.withColumn("kept", F.when(F.col(text_col).isNotNull(), F.decode("kept", "UTF-8")))

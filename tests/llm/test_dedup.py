@@ -45,22 +45,37 @@ def brute_repeats(rows, width=35):
         yield d, len(w), len(gone), hashlib.sha256(left).hexdigest()
 
 
-@pytest.mark.parametrize("cells", [1 << 17, 1 << 20])
-def test_substrings_brute(spark, cells):
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_substrings_brute(spark, most):
     rows = [(i if i % 11 else None, t) for i, t in enumerate(texts())]
     df = spark.createDataFrame([(d, t, "en", "s", 1, "clash") for d, t in rows], ROWS).repartition(5)
-    got = substrings.repeated(df, cells=cells).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = substrings.repeated(df, most=most).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, got), key=key) == sorted(brute_repeats(rows), key=key)
 
 
-def test_substrings_crowded_sketch_loses_none(spark):
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_substrings_crowded_sketch_loses_none(spark, most, monkeypatch):
+    monkeypatch.setattr(substrings, "cells_for", lambda n: 1 << 16 if most else 64)
     rows = list(enumerate(texts(seed=8, n=200)))
     df = spark.createDataFrame([(d, t, "en", "s", 1, "clash") for d, t in rows], ROWS)
-    got = substrings.repeated(df, cells=1 << 16, depth=1).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = substrings.repeated(df, depth=1, most=most).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
 
 
+def test_substrings_rows_of_one_id(spark):
+    """Rows with null ids, or with one id, are told apart by their texts; also a long text, and no text at all."""
+    rng = random.Random(5)
+    passage = " ".join("p%d" % i for i in range(40))
+    rows = [(None, f"a{i} {passage}" if i % 2 else " ".join("q%d" % rng.randrange(10**6) for _ in range(41))) for i in range(60)]
+    rows += [(7, f"b{i} {passage}") for i in range(3)] + [(8, " ".join("r%d" % i for i in range(400_000)) + " " + passage)] + [(9, None), (9, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1, "clash") for d, t in rows], ROWS).repartition(6)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    for most in (1 << 28, 0):
+        got = substrings.repeated(df, most=most).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=key) == sorted(brute_repeats(rows), key=key)
+
+
 def test_substrings_empty(spark):
     assert substrings.digest(spark.createDataFrame([], ROWS)).collect() == []
 

@@ -25,16 +25,78 @@ def test_toxicity_held_out(spark):
     assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
 
 
-def test_toxicity_edges(spark):
+def plain_distances(model, text):
+    """Windows, chains and compression spelled out."""
+    import zstandard
+
+    def chain(word):
+        w = "".join(chr(c) for c in word)
+        while w and toxicity._EDGE[ord(w[0])]:
+            w = w[1:]
+        while w and toxicity._EDGE[ord(w[-1])]:
+            w = w[:-1]
+        h, out = 0, []
+        for c in w:
+            c = ord(c) + 32 if "A" <= c <= "Z" else ord(c)
+            h = (h * toxicity._ODD + int(toxicity._VALUE[c])) % 2**64
+            x = h ^ h >> 30
+            x = x * 0xBF58476D1CE4E5B9 % 2**64
+            x ^= x >> 27
+            x = x * 0x94D049BB133111EB % 2**64
+            out.append(int(toxicity._CODE[((x ^ x >> 31) >> 33) % len(toxicity._CODE)]))
+        return bytes(out)
+
+    def length(content, data):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=256, dict_size=len(content), write_content_size=0, write_dict_id=0, write_checksum=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        held.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(data))
+
+    words = [c for c in map(chain, text.split()) if c]
+    both = model.ordinary, model.toxic + model.ordinary
+    bare = [length(d, model.ballast) for d in both]
+    for i in range(0, len(words), model.window):
+        w = b" " + b" ".join(words[i : i + model.window]) + b" " + model.ballast
+        a, b = (length(d, w) - n for d, n in zip(both, bare, strict=True))
+        yield a - b
+
+
+def test_toxicity_brute_and_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "you idiot", "x"), (2, "", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.predictions(docs, labels).collect()
     assert len(got) == 4 and {r.score for r in got} == {0.0}
     assert toxicity.predictions(docs.where(F.lit(False)), labels).collect() == []
-    model = toxicity.train([b"you are an idiot and a clown %d" % i for i in range(40)], [b"you are the best of all the people number %d" % i for i in range(60)])
+    rng = np.random.default_rng(2)
+    common = ["".join(rng.choice(list("etaoinshr"), 7)) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(common, n))
+    bad = [f"{say(30)} idiotic {say(12)} clownish {say(5)}".encode() for _ in range(60)]
+    model = toxicity.train(bad, [say(60).encode() for _ in range(120)])
+    assert model.toxic and model.cut in (2, 3, 4)
+    texts = [b"", b" ... !", f"{say(100)} (Idiotic!) {say(4)}".encode(), say(50).encode(), "Über\u00e9 \u4f60 idiotic\tclownish".encode(), b"idiotic"]
+    import pyarrow as pa
+
     own = toxicity.Scorer(model)
-    assert own.score(b"what an idiot ") > own.score(b"what a nice day") and own.score(b"") == 0
-    assert own.score(b"best people " * 5000 + b"idiot clown idiot") >= 0.5 > own.score(b"best people " * 5000)
+    held = toxicity.chains(texts)
+    for i, t in enumerate(texts):
+        assert own.distances(held, i) == list(plain_distances(model, t))
+    many = f"{say(40_000)} idiotic clownish {say(9)}".encode()
+    scores = own.scores(pa.array([*texts, many], pa.binary()))
+    for t, s in zip([*texts, many], scores, strict=True):
+        total = sum(d for d in plain_distances(model, t) if d >= model.cut) / max(1, len(t)) ** model.power if len(t) < 1000 else None
+        assert total is None or s == pytest.approx(total / (total + model.threshold))
+    assert scores[2] >= 0.5 > scores[3] and scores[0] == scores[1] == 0 < scores[-1]
+    table = spark.createDataFrame([(i, t.decode(), "x", 2.0) for i, t in enumerate(texts)], "doc_id long, text string, source string, score double")
+    got = toxicity.scored(table, model).orderBy("doc_id")
+    assert got.columns == ["doc_id", "text", "source", "score"] and [r.score for r in got.collect()] == pytest.approx(list(scores[:-1]))
+
+
+def test_toxicity_draws_agree(spark):
+    """Repeated ids with different texts: the rows learned from don't depend on the partitioning."""
+    rows = [(i % 40, f"some text number {i} of all with a {'clownish fool' if i % 3 == 0 else 'nice person'} in it") for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    one, two = (toxicity.fit(docs.repartition(n), labels, toxic_rows=30, ordinary_rows=40) for n in (2, 7))
+    assert one == two
 
 
 def test_language_held_out(spark):
