@@ -3,17 +3,19 @@
 A document's vector is the mean of its token ids' random directions (ids hashed to a table of them), squashed into a
 cube of `DIMS` sides; the place of its cell on the Hilbert curve through the cube is its key, and a hash of the
 document parts those with equal keys, so that any number of copies can be dealt out. One pass over the texts
-tokenizes, and writes ids and keys as a table in the shared folder; the keys' quantiles cut the curve into as many
-stretches as there are shuffle partitions, and each document's ids move once, to its stretch. Along a stretch
+tokenizes, and writes ids and keys as a table in the shared folder; the keys' quantiles cut the curve into
+stretches of about `STRETCH` ids (as many as there are shuffle partitions at least), and each document's ids move once, to its stretch. Along a stretch
 documents stand in the order of their keys, end to end, and are cut every `length` ids: neighbours on the curve share
 sequences. What is left at the end of a stretch is cut into powers of two, which need no padding.
 
-Ids: those of the tokenizer for the text, special tokens' strings being ordinary text, then `end`. Where the file is a
-byte-level BPE whose ids follow its merges, a second library computes the same ids in a third of the time; it is used
-for texts in scripts that both libraries split alike and without very long runs, and the first one for all others.
+Ids: those of the file's tokenizer for the text without adding special tokens, then `end`; a special token's string in a
+text is that token, as the file says. Where the file is a byte-level BPE whose ids follow its merges, a second library
+computes the same ids in a third of the time; it is used for texts in scripts that both libraries split alike, without
+special tokens' strings and without very long runs, and the first one for all others.
 
-Defined cases: a null text is an empty one and has only the end id; repeated rows are packed each; a null id is a
-value like any other; an empty table gives an empty one.
+Defined cases: a null text is an empty one and has only the end id; repeated rows are packed each, and parted by their
+place in the table, so that any number of them can be dealt out; a null id is a value like any other; a text is tokenized
+whole, with some 60 bytes for each of its bytes; other columns are not looked at; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from ..shared import stored
 from .common import mix64, steps, utf8
 
 LENGTH, END, DIMS, BITS = 2048, 1, 3, 16
+#: Ids of one task.
+STRETCH = 1 << 24
 _BUCKETS = 4096
 _DIRECTIONS = np.random.default_rng(7).standard_normal((_BUCKETS, DIMS))
 _TIE = 15
@@ -79,13 +83,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.fast = ranked(path)
 
     def alike(self, text: str) -> bool:
         """Whether the second library gives the same ids in little time."""
-        if self.fast is None:
+        if self.fast is None or any(t in text for t in self.added):
             return False
         try:
             text.encode("latin-1")
@@ -161,11 +165,11 @@ def keys(ids: list[bytes], dtype: np.dtype) -> np.ndarray:
     return hilbert(np.minimum((np.tanh(2 * mean) + 1) * (1 << BITS - 1), (1 << BITS) - 1).astype(np.uint64))
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, end: int = END, stretch_ids: int = STRETCH) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer or default_tokenizer()
     spark = df.sparkSession
-    own = df.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("tie"), id_col, text_col), F.lit(1 << _TIE)).alias("tie"))
+    own = df.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("tie"), id_col, text_col, F.monotonically_increasing_id()), F.lit(1 << _TIE)).alias("tie"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -173,7 +177,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         for part in steps(batches, "text"):
             ids = enc.encode([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])
             key = (keys(ids, enc.dtype) << np.uint64(_TIE) | part.column("tie").to_numpy().astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), pa.array([x + last for x in ids], pa.binary())], names=["doc_id", "key", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), pa.array([len(x) // enc.dtype.itemsize + 1 for x in ids]), pa.array([x + last for x in ids], pa.binary())], names=["doc_id", "key", "n", "ids"])
 
     id_type = own.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -232,10 +236,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         if out:
             yield row_batch(out, kind)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = stored(own.mapInArrow(encoded, f"doc_id {id_type}, key long, n long, ids binary"))
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // stretch_ids))
     wanted = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
-    coded = stored(own.mapInArrow(encoded, f"doc_id {id_type}, key long, ids binary"))
     found = coded.agg(F.expr(f"percentile_approx(key, array({wanted}), {max(10_000, 20 * parts)})")).first()[0] if parts > 1 else None
     cuts = F.lit(found or []).cast("array<long>")  # one key a partition
-    laid = coded.withColumn("stretch", F.size(F.filter(cuts, lambda c: c < F.col("key")))).repartitionById(parts, F.col("stretch"))
+    laid = coded.drop("n").withColumn("stretch", F.size(F.filter(cuts, lambda c: c < F.col("key")))).repartitionById(parts, F.col("stretch"))
     return laid.sortWithinPartitions("stretch", "key", "doc_id", "ids").mapInArrow(packed, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in names[1:]))

@@ -14,7 +14,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -65,6 +64,19 @@ def test_pack_empty_and_repeated(spark):
     assert sorted(p.doc_tokens for p in got) == [1, 2, 2]
 
 
+def test_pack_many_equal_rows_and_a_long_text(spark):
+    """Equal rows don't share a stretch, stretches go by ids, and a text of megabytes comes back whole."""
+    rows = [(1, "all the same words", "", "")] * 3000 + [(2, "some words of a very long text, " * 60_000 + "<|endoftext|>" + "z" * 5000, "", "")]
+    got = packing.pack(spark.createDataFrame(rows, ROWS), stretch_ids=20_000).collect()
+    assert len({p.sequence_id >> 40 for p in got if p.doc_id == 1}) > 4
+    assert len([p for p in got if p.doc_id == 1 and p.start == 0]) == 3000
+    whole = sorted((p for p in got if p.doc_id == 2), key=lambda p: p.start)
+    ids = reference_ids(rows[-1][1])
+    assert 50256 in ids and whole[0].doc_tokens == len(ids)
+    for p in whole:
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+
+
 def test_hilbert_neighbours():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
