@@ -121,6 +121,70 @@ def test_language_mixture_and_edges(spark):
     assert {r.lang_pred for r in language.predictions(docs).collect()} == {"und"}
 
 
+def brute_mixture(model, text, penalty=2.0, rounds=25):
+    """EM and the set search with plain loops, an n-gram at a time."""
+    import math
+    import re
+
+    line = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+    if not any(c.isalpha() for c in line):
+        return []
+    line = f" {line} "
+    grams = [int(language.ngrams(line[i : i + 3])[0]) for i in range(len(line) - 2)]
+
+    def em(langs, share):
+        for _ in range(rounds):
+            new = [0.0] * len(langs)
+            for g in grams:
+                odds = [s * model.table[g][k] for s, k in zip(share, langs, strict=True)]
+                for i, x in enumerate(odds):
+                    new[i] += x / sum(odds) / len(grams)
+            moved, share = max(abs(x - y) for x, y in zip(new, share, strict=True)), new
+            if moved < 1e-4:
+                break
+        return share
+
+    every = list(range(len(model.languages)))
+    share = em(every, [1 / len(every)] * len(every))
+    order = sorted(every, key=lambda k: (-share[k], k))
+    best, found = -math.inf, []
+    for k in range(1, len(order) + 1):
+        some = order[:k]
+        total = sum(share[i] for i in some)
+        own = em(some, [share[i] / total for i in some]) if k > 1 else [1.0]
+        value = sum(math.log(sum(s * model.table[g][i] for s, i in zip(own, some, strict=True))) for g in grams) - penalty * (k - 1) * math.log(len(grams))
+        if value <= best:
+            break
+        best, found = value, sorted(zip(own, some, strict=True), key=lambda x: (-x[0], x[1]))
+    return [(model.languages[i], s) for s, i in found]
+
+
+def test_language_brute():
+    rng = np.random.default_rng(6)
+    words = {k: ["".join(rng.choice(list(letters), 5)) for _ in range(40)] for k, letters in {"aa": "abcde", "bb": "cdefg", "cc": "hijkl", "dd": "mnopq", "ee": "rstuv", "ff": "wxyz", "gg": "abhimn", "hh": "pquvw"}.items()}
+    model = language.train([(k, " ".join(rng.choice(w, 300))) for k, w in words.items()])
+    texts = ["abc", "x", "a b"]
+    for n in (1, 2, 3, 8):
+        some = rng.choice(list(words), n, replace=False)
+        texts.append(" ".join(" ".join(rng.choice(words[k], 30 + 10 * i)) for i, k in enumerate(some)))
+    for t in texts:
+        got, want = model.languages_of(t), brute_mixture(model, t)
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    assert len(model.languages_of(texts[-1])) == 8  # more than a few languages are all found
+
+
+def test_language_rows(spark):
+    """Ids that repeat or are null, clashing columns, ties, and a very long text."""
+    en, de = "the cat and the dog went to the house with them", "der hund und die katze gingen in das haus mit ihnen"
+    own = next(i for i in range(20, 40) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(None, en, "en", 1.0, "x")] * 30 + [(own, de, "de", 1.0, "x")] * 30 + [(9, (en + " ") * 40_000, None, 1.0, "x"), (10, "\u4f60\u597d", None, None, None)]
+    got = language.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string"), language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string"))).collect()
+    assert len(got) == 62 and got[0].asDict().keys() == {"doc_id", "text", "lang", "lang_pred", "score", "languages"}
+    assert all(r.lang_pred == r.lang for r in got if r.lang) and {r.lang_pred for r in got if r.doc_id == 9} == {"en"}
+    assert all(abs(sum(x.share for x in r.languages) - 1) < 1e-6 for r in got)
+    assert {r.lang_pred for r in got if r.doc_id == 10} <= {"de", "en"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";x("<p>bad</p>")</script></head><body>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies, a very long notice about cookies and more cookies for you.</div>
 <article><h1>Title &amp; more</h1><p><b>First  <i>para</i>graph
