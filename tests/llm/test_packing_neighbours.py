@@ -113,6 +113,33 @@ def test_recall(spark, sf, block):
         assert all(abs(exact[a] - s) < 1e-12 for a, s in got[q] if a in exact)
 
 
+def test_estimates_from_packed_bits():
+    """Bits and planes give what the plain sum over dimensions gives, and errors keep to their bounds."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((3000, 20)) * rng.uniform(0.1, 9, (3000, 1))
+    turn = neighbours.rotation(neighbours.width(20))[:20]
+    way, length = neighbours.directions(v)
+    turned = way @ turn
+    agree = np.abs(turned).sum(1) / 16
+    codes = neighbours.Codes(neighbours.packed(turned > 0), length, agree)
+    q = rng.standard_normal(20)
+    q /= np.linalg.norm(q)
+    mine = q @ turn
+    step = (mine.max() - mine.min()) / 15
+    rounded = mine.min() + step * np.rint((mine - mine.min()) / step)
+    plain = np.where(turned > 0, 1, -1) @ rounded / 16 / agree * length
+    est, error = codes.estimate(mine)
+    assert np.allclose(est, plain)
+    off = np.abs(est - v @ q) / error
+    assert (off < 2.5).mean() > 0.97 and off.mean() > 0.3
+
+
+def test_clashing_columns_and_repeats(spark):
+    rows = [(i, [float(i % 7), 1.0], 0.5, 3, "x") for i in range(50)] * 2
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int, query_id string")).collect()
+    assert len(got) == 3 * 20 and all(r.score == (r.query_id % 7) * (r.vec_id % 7) + 1.0 for r in got)
+
+
 def test_ties_and_bad_vectors(spark):
     rows = [(i, [1.0, 2.0], 0) for i in range(30)] + [(40, [0.0, 0.0], 0), (60, None, 0), (80, [1.0, float("nan")], 0), (100, [1.0, None], 0), (None, [1.0, 1.0], 0), (120, [float("inf"), 1.0], 0), (140, [1.0], 0), (0, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
