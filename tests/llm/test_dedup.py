@@ -159,3 +159,21 @@ def test_simhash_empty_and_nulls(spark):
     df = spark.createDataFrame([(None, "a b", "", "", 1, ""), (4, "A b", "", "", 1, ""), (4, "A b", "", "", 1, ""), (None, None, "", "", 1, "")], ROWS)
     got = sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str)
     assert [(r[0], r[2]) for r in got] == [(4, 4), (4, 4), (None, 4), (None, None)] or sorted(r[2] is None for r in got) == [False, False, False, True]
+
+
+def test_simhash_hot_group_and_long_text(spark):
+    """A third of all rows empty, a star of near copies, a text of megabytes, repeated rows, clashing columns."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    stars = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(400)] = f"x{i}"
+        stars.append(" ".join(w))
+    long = " ".join(f"n{i % 70_001}" for i in range(600_000))
+    rows = [(i, None if i % 2 else " ") for i in range(120)] + [(1000 + i, t) for i, t in enumerate(stars)] + [(5000, long), (5000, long), (None, "alone in the world")]
+    df = spark.createDataFrame([(d, t, "f", 1) for d, t in rows], "doc_id long, text string, fingerprint string, component_id int").repartition(6)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    want = brute_groups([(d if d is not None else -1, t) for d, t in rows])
+    assert got - {(None, *x[1:]) for x in got if x[0] is None} == {x for x in want if x[0] != -1}
+    assert simhash.near_duplicates(df).count() == len(rows)
