@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; numpy holds a few dozen times this.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; batches to Python workers get a bound in bytes, where the session still has Spark's own of 64 MB."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "67108864b") == "67108864b":
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds

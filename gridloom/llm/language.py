@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, steps, utf8
+from .common import bounded, fold, steps, utf8
 
 SIZE = 1 << 16
 UNKNOWN = "und"
@@ -138,7 +138,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
             out["languages"] = pa.array([[{"lang": k, "share": v} for k, v in x] for x in sets], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    kept = docs.drop("lang_pred", "score", "languages")
+    kept = bounded(docs).drop("lang_pred", "score", "languages")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, languages array<struct<lang:string,share:double>>"
     return kept.withColumn("__text", utf8(text_col)).mapInArrow(run, schema)
 

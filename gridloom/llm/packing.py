@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stored
-from .common import mix64, steps, utf8
+from .common import bounded, mix64, steps, utf8
 
 LENGTH, END, DIMS, BITS = 2048, 1, 3, 16
 #: Ids of one task.
@@ -169,7 +169,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer or default_tokenizer()
     spark = df.sparkSession
-    own = df.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("tie"), id_col, text_col, F.monotonically_increasing_id()), F.lit(1 << _TIE)).alias("tie"))
+    own = bounded(df).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("tie"), id_col, text_col, F.monotonically_increasing_id()), F.lit(1 << _TIE)).alias("tie"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

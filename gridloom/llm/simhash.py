@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stored
-from .common import steps, utf8
+from .common import bounded, steps, utf8
 
 SEED, LANES = 42, np.uint64(0x0101010101010101)
 #: A bucket with more fingerprints is dealt out in blocks of this many.
@@ -88,7 +88,7 @@ def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rest = [part.column(c) for c in part.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(fp.view(np.int64))], names=[*[c for c in part.schema.names if c != "__text"], "fp"])
 
-    own = df.select(F.col(id_col), *also, utf8(text_col).alias("__text"))
+    own = bounded(df).select(F.col(id_col), *also, utf8(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__text") + ", fp long"
     return own.mapInArrow(run, schema)
 

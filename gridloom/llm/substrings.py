@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, rolling, steps, utf8
+from .common import Words, bounded, buffers, rolling, steps, utf8
 from .sketch import cell, cells_for, merged, twice
 
 WIDTH, ANCHOR, DEPTH = 35, 8, 2
@@ -101,7 +101,7 @@ def _anchors(known: DataFrame, width: int, anchor: int, cells: int) -> DataFrame
 def repeated(df: DataFrame, text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, depth: int = DEPTH, most: int = MOST) -> DataFrame:
     """The table with n_words, n_removed, kept_sha256 and kept (the kept words joined by one space; null: null)."""
     spark = df.sparkSession
-    known = df.drop("n_words", "n_removed", "kept_sha256", "kept").withColumn("__text", utf8(text_col)).withColumns({"__one": F.xxhash64("__text"), "__two": F.hash("__text")})
+    known = bounded(df).drop("n_words", "n_removed", "kept_sha256", "kept").withColumn("__text", utf8(text_col)).withColumns({"__one": F.xxhash64("__text"), "__two": F.hash("__text")})
     size = known.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     cells = cells_for(2 * size // (6 * (width - min(anchor, width) + 2)))
     bits = None

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, buffers, fold, mix64, steps, utf8
+from .common import Words, bounded, buffers, fold, mix64, steps, utf8
 
 RATIO, SHARE = 40.0, 0.008
 #: Lengths of beginnings, in bytes.
@@ -271,7 +271,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", into: str = "s
 
     kept = docs.drop(into)
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType())])
-    return docs.withColumn("__text", utf8(text_col)).select(*[F.col(f"`{c}`") for c in kept.columns], "__text").mapInArrow(run, schema)
+    return bounded(docs).withColumn("__text", utf8(text_col)).select(*[F.col(f"`{c}`") for c in kept.columns], "__text").mapInArrow(run, schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
