@@ -15,7 +15,7 @@ _METHODS = {
     **{n: getattr(shape, n) for n in ("extend", "transpose", "rename", "rename_axes", "replace_axis", "as_type", "fill", "unfill", "scale", "rotate_lon", "split_coefs", "flatten", "split_time", "join_time", "densify", "weights", "aux_values", "format_values", "with_metadata")},
     **calagg.OPERATIONS, "climtrend": calagg.climtrend, "from_trend": calagg.from_trend, "detrend": calagg.detrend, "anomalies": calagg.anomalies, "time_average": calagg.time_average, "remove_leap_days": calagg.remove_leap_days,
     **{n: getattr(windowed, n) for n in ("deriv", "diff", "integrate", "cumsum", "smooth", "lag", "composite")},
-    "fft_smooth": harmonic.fft_smooth, "strans": harmonic.strans, "interpolate": interp.interpolate, "eof": modes.eof, "svd": modes.svd, "correlate": stats.correlate, "regress": stats.regress, "difference": stats.difference, "paired_difference": stats.paired_difference, "isnonzero": stats.isnonzero,
+    "fft_smooth": harmonic.fft_smooth, "strans": harmonic.strans, "interpolate": interp.interpolate, "eof": modes.eof, "svd": modes.svd, "correlate": stats.correlate, "regress": stats.regress, "difference": stats.difference, "histogram": stats.histogram, "percentiles": stats.percentiles, "limits": stats.limits, "paired_difference": stats.paired_difference, "isnonzero": stats.isnonzero,
 }
 
 
@@ -50,6 +50,7 @@ for _name in ("lt", "le", "gt", "ge"):
 for _op, _name in {"neg": "neg", "pos": "pos", "abs": "abs"}.items():
     setattr(Grid, f"__{_op}__", _unary(_name))
 Grid.__call__ = select.select
+Grid.__getitem__ = select.sliced
 concat, ensemble, interpolate, multiple_regress = sets.concat, sets.ensemble, interp.interpolate, stats.multiple_regress
 
 __all__ = ["Axis", "Dataset", "Grid", "axes", "grid", "concat", "ensemble", "interpolate", "multiple_regress"]

@@ -112,7 +112,8 @@ def regularlon(spark: SparkSession, n: int, origin: float = 0.0, repeat: bool =
 
 
 def regularlat(spark: SparkSession, n: int, poles: bool = True, order: int = 1) -> DataFrame:
-    v = np.linspace(-90, 90, n) if poles else -90 + 180.0 / n * (np.arange(n) + 0.5)
+    """Evenly spaced from pole to pole; without the poles, the spacing is that with them."""
+    v = np.linspace(-90, 90, n) if poles else 180.0 * np.arange(1, n + 1) / (n + 1) - 90
     return table(spark, {"lat": v[::order]})
 
 

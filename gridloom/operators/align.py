@@ -154,8 +154,17 @@ def asof(left: DataFrame, right: DataFrame, key: str, columns: list[str], by: li
     by = by or []
     both = left.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(f"__{c}") for c in columns], F.lit(1).alias("__side"))
     other = right.select(*[F.col(c) if c == key or c in by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], *[F.col(c).alias(f"__{c}") for c in columns], F.lit(0).alias("__side"))
-    to_here = Window.partitionBy(*by).orderBy(key, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.unionByName(other).withColumn("__held", F.last(F.when(F.col("__side") == 0, F.struct(*[F.col(f"__{c}").alias(c) for c in columns])), ignorenulls=True).over(to_here))
+    own = F.when(F.col("__side") == 0, F.struct(*[F.col(f"__{c}").alias(c) for c in columns]))
+    to_here = lambda *cols: Window.partitionBy(*cols).orderBy(key, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    if by:
+        held = both.unionByName(other).withColumn("__held", F.last(own, ignorenulls=True).over(to_here(*by)))
+    else:
+        # ranges of the key; each hands its last row of `right` on to those after it, in a table of a row a range
+        ranged = stored(both.unionByName(other).repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
+        ends = ranged.groupBy("__part").agg(F.max_by(own, F.when(F.col("__side") == 0, F.col(key))).alias("__end"))
+        before = F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+        held = ranged.join(F.broadcast(ends.select("__part", before.alias("__before"))), "__part")
+        held = held.withColumn("__held", F.coalesce(F.last(own, ignorenulls=True).over(to_here("__part")), "__before"))
     return held.where("__side = 1").select(*left.columns, *[F.col(f"__held.{c}").alias(c if c not in left.columns else f"{c}_right") for c in columns])
 
 

@@ -157,6 +157,30 @@ def taken(g: Grid, which, order: list[int], name: str = "pos") -> Grid:
     return Grid(out, tuple(kept), g.values, g.atts).tidy()
 
 
+def sliced(g: Grid, items) -> Grid:
+    """`g[...]`: whole numbers (their axes go), slices, lists and one Ellipsis, an item an axis in order. As a grid's cells have
+    no order but their coordinates', a slice with a negative step picks the same cells as its reverse."""
+    items = list(items) if isinstance(items, tuple) else [items]
+    if sum(x is Ellipsis for x in items) > 1 or len([x for x in items if x is not Ellipsis]) > len(g.axes):
+        raise IndexError("more items than axes")
+    if Ellipsis in [x for x in items if isinstance(x, type(Ellipsis))]:
+        at = next(i for i, x in enumerate(items) if x is Ellipsis)
+        items[at : at + 1] = [slice(None)] * (len(g.axes) - len(items) + 1)
+    picks = {}
+    for axis, item in zip(g.axes, items, strict=False):
+        if isinstance(item, slice):
+            if item == slice(None):
+                continue
+            if item.start is not None and item.start < 0 or item.stop is not None and item.stop < 0 or (item.step or 1) < 0:
+                item = list(range(*item.indices(g.dimension(axis).count())))
+            picks[f"i_{axis.name}"] = item
+        elif isinstance(item, (list, tuple)):
+            picks[f"i_{axis.name}"] = [int(k) for k in item]
+        else:
+            picks[f"si_{axis.name}"] = int(item)
+    return select(g, **picks)
+
+
 def compare(g: Grid, op: str, other: float) -> Grid:
     """A boolean for each cell; no cell goes."""
     from ..functions.npmath import BINARY

@@ -5,11 +5,11 @@ Pairs with a NaN are skipped (save in `multiple_regress`). `output` names the co
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.npmath import NAN, nn, num
@@ -145,3 +145,25 @@ def isnonzero(x: Grid, axes: Sequence = (), alpha: float = 0.05, n_fac: float =
     s, left, keys = _side(x, axes, "x", n_fac)
     s = s.withColumns({"m": F.col("mx"), "df": (F.col("ex") - 1).cast("double"), "__s": F.sqrt(F.col("vx") / F.when(F.col("ex") > 1, F.col("ex")))})
     return _tested(s, left, keys, alpha, output, "m")
+
+
+def histogram(g: Grid, width: float, low: float = 0.0, most: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, bin, n): how many values lie in each bin of `width` from `low` on; those beyond bin `most` count in it. NaN lie in none."""
+    v = num(g.value)
+    at = F.floor((v - F.lit(float(low))) / F.lit(float(width)))
+    at = at if most is None else F.least(at, F.lit(most))
+    return g.df.where(~F.isnan(v) & v.isNotNull()).groupBy(*by, at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def percentiles(g: Grid, shares: Mapping[str, float], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """A column for each share: the values' percentile, between two values in proportion. NaN don't count. The exact form keeps the
+    distinct values of a group, with their counts, in one task; the other a summary of fixed size, exact to 1 in 10,000."""
+    v = num(g.value)
+    wanted = F.array(*[F.lit(float(x)) for x in shares.values()])
+    p = F.percentile(v, wanted) if exact else F.percentile_approx(v, wanted, F.lit(10_000))
+    return g.df.where(~F.isnan(v) & v.isNotNull()).groupBy(*by).agg(p.alias("__p")).select(*by, *[F.col("__p")[i].alias(n) for i, n in enumerate(shares)])
+
+
+def limits(g: Grid, low: float = 0.02, high: float = 0.98, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """(by, low, high): the percentiles that a colour scale runs between."""
+    return percentiles(g, {"low": low, "high": high}, by, exact)

@@ -86,6 +86,25 @@ def diff(g: Grid, which, n: int = 1, within: tuple | None = None) -> Grid:
     return _cut(g.with_df(rows.withColumns(out).where("__in = 1")).tidy(), axis, within)
 
 
+BLOCK = 65536
+
+
+def _before(g: Grid, axis: Axis, rows: DataFrame, cells: dict[str, Column], descending: bool) -> DataFrame:
+    """Adds, under its name, what each of `cells` is at the coordinate before; null at the first. A grid that is one line is cut into
+    blocks of positions (`__block`), and what ends a block goes to the next one in a table of a row a block."""
+    if g.outer(axis):
+        w = line(g, axis, descending)
+        return rows.withColumns({n: F.lag(c).over(w) for n, c in cells.items()})
+    dims = positions(g, axis).withColumn("__block", F.floor(F.col("__i") / BLOCK))
+    rows = rows.withColumns({f"__c_{n}": c for n, c in cells.items()}).join(dims.drop("__i"), list(axis.columns))
+    last = (F.min_by if descending else F.max_by)(F.struct(*[f"__c_{n}" for n in cells]), F.struct(*axis.columns))
+    ends = rows.groupBy("__block").agg(last.alias("__end")).withColumn("__block", F.col("__block") + (-1 if descending else 1))
+    inside = Window.partitionBy("__block").orderBy(*[F.col(c).desc() if descending else F.col(c) for c in axis.columns])
+    first = F.row_number().over(inside) == 1
+    rows = rows.join(ends, "__block", "left")
+    return rows.withColumns({n: F.when(first, F.col(f"__end.__c_{n}")).otherwise(F.lag(f"__c_{n}").over(inside)) for n in cells})
+
+
 def _running(g: Grid, axis: Axis, rows: DataFrame, terms: dict[str, Column], descending: bool) -> DataFrame:
     """Sums of the terms up to each coordinate. A grid that is one line is summed block by block, the blocks' totals
     before them: no task holds the line."""
@@ -93,8 +112,6 @@ def _running(g: Grid, axis: Axis, rows: DataFrame, terms: dict[str, Column], des
     rows = rows.withColumns({f"__t_{v}": t for v, t in terms.items()})
     if g.outer(axis):
         return rows.withColumns({v: F.sum(f"__t_{v}").over(w) for v in terms})
-    dims = positions(g, axis).withColumn("__block", F.floor(F.col("__i") / 65536))
-    rows = rows.join(dims.drop("__i"), list(axis.columns))
     totals = rows.groupBy("__block").agg(*[F.sum(f"__t_{v}").alias(f"__b_{v}") for v in terms])
     upto = Window.orderBy(F.col("__block").desc() if descending else "__block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("__block", *[F.coalesce(F.sum(f"__b_{v}").over(upto), F.lit(0.0)).alias(f"__b_{v}") for v in terms])
@@ -105,22 +122,21 @@ def _running(g: Grid, axis: Axis, rows: DataFrame, terms: dict[str, Column], des
 def integrate(g: Grid, which, kind: str = "trapz", v0: float = 0.0, order: int = 1, dx=None) -> Grid:
     """Running integral, v0 at the first coordinate (the last one for order -1; steps keep their sign)."""
     axis = g.axis(which)
-    w = line(g, axis, order < 0)
-    step = F.col("__x") - F.lag("__x").over(w)
-    step = step if order > 0 else -step
-    rows = g.df.withColumn("__x", _x(g, axis, dx))
-    term = {"trapz": lambda c: (c + F.lag(c).over(w)) / 2, "rectl": lambda c: (F.lag(c).over(w) if order > 0 else c), "rectr": lambda c: (c if order > 0 else F.lag(c).over(w))}[kind]
-    terms = {v: F.coalesce(step * term(num(v)), F.lit(float(v0))) for v in g.values}
+    x = _x(g, axis, dx)
+    rows = _before(g, axis, g.df, {"__px": x} | {f"__p_{v}": num(v) for v in g.values}, order < 0)
+    step = x - F.col("__px") if order > 0 else F.col("__px") - x
+    term = {"trapz": lambda c, p: (c + p) / 2, "rectl": lambda c, p: p if order > 0 else c, "rectr": lambda c, p: c if order > 0 else p}[kind]
+    terms = {v: F.coalesce(step * term(num(v), F.col(f"__p_{v}")), F.lit(float(v0))) for v in g.values}
     return g.with_df(_running(g, axis, rows, terms, order < 0)).tidy()
 
 
 def cumsum(g: Grid, which, v0: float = 0.0, order: int = 1, mode: str = "sum") -> Grid:
     """Running sum from v0. `mode="after"`: the first coordinate's value is replaced by v0."""
     axis = g.axis(which)
-    w = line(g, axis, order < 0)
-    first = F.lag(F.lit(1)).over(w).isNull()
+    rows = _before(g, axis, g.df, {"__one": F.lit(1)}, order < 0)
+    first = F.col("__one").isNull()
     terms = {v: F.when(first, F.lit(float(v0)) if mode == "after" else num(v) + v0).otherwise(num(v)) for v in g.values}
-    return g.with_df(_running(g, axis, g.df, terms, order < 0)).tidy()
+    return g.with_df(_running(g, axis, rows, terms, order < 0)).tidy()
 
 
 def smooth(g: Grid, which, kernel: int | Sequence[float] = 15, within: tuple | None = None) -> Grid:

@@ -195,7 +195,7 @@ def join_axis_sets(spark, d):
 # Elementwise
 
 def cells(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
 
 
 N, U = npmath.BINARY, npmath.UNARY
@@ -688,14 +688,13 @@ def svd_self(spark, d):
 
 @query("SELECT event_type, least(floor(value / 25), 19)::BIGINT AS bin, count(*)::BIGINT AS n FROM ev GROUP BY 1, 2", "ev")
 def hist_value(spark, d):
-    g = ev(spark, d)
-    return g.df.groupBy("event_type", F.least(F.floor(F.col("value") / 25), F.lit(19)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return stats.histogram(ev(spark, d), 25.0, most=19, by=["event_type"])
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.0), 6) AS p0, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.98), 6) AS p98, round(quantile_cont(value, 1.0), 6) AS p100 FROM ev GROUP BY 1", "ev")
 def pctl_range(spark, d):
-    p = F.percentile("value", F.array(*map(F.lit, (0.0, 0.02, 0.5, 0.98, 1.0))))
-    return out(ev(spark, d).df.groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.col("p")[i].alias(n) for i, n in enumerate(("p0", "p2", "p50", "p98", "p100"))]))
+    p = stats.percentiles(ev(spark, d), {"p0": 0.0, "p2": 0.02, "p50": 0.5, "p98": 0.98, "p100": 1.0}, by=["event_type"])
+    return out(p)
 
 
 @query("WITH r AS (SELECT (max(value) - min(value)) / 65534 AS s, (max(value) + min(value)) / 2 AS o FROM events) SELECT event_id, round(trunc((value - o) / s) * s + o, 6) AS value FROM events, r")

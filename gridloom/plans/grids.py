@@ -53,5 +53,5 @@ SQL = {
     "emb": "emb AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)",
     "ev": "ev AS (SELECT ts AS time, event_type, value FROM events)",
     "holed": "holed AS (SELECT l_quantity, l_returnflag, l_linestatus, CASE WHEN (l_quantity = 7 AND l_returnflag <> 'R') OR (l_returnflag = 'N' AND l_linestatus = 'F') THEN 'NaN'::DOUBLE ELSE l_extendedprice END AS v FROM lineitem)",
-    "cells": "cells AS (SELECT DISTINCT l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem)",
+    "cells": "cells AS (SELECT l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem)",
 }
