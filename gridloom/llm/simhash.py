@@ -58,10 +58,14 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def fingerprints(texts: list[bytes], width: int = 4) -> np.ndarray:
-    """One unsigned fingerprint a text. Set bits are counted in byte lanes, 255 hashes at a time."""
-    lists = [shingle_hashes(t, width) for t in texts]
+    """One unsigned fingerprint a text."""
+    return majority([shingle_hashes(t, width) for t in texts])
+
+
+def majority(lists: list[np.ndarray]) -> np.ndarray:
+    """One unsigned fingerprint a list of hashes. Set bits are counted in byte lanes, 255 hashes at a time."""
     n = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(lists), np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
         return out

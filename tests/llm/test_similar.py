@@ -2,9 +2,11 @@ import random
 
 import corpus_pipeline as cp
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
-from gridloom.llm import similar
+from gridloom.llm import simhash, similar
 
 
 def shingles(text):
@@ -72,3 +74,50 @@ def test_parities_never_exceed_the_difference():
         x, y = (np.frombuffer(similar.parity(s), np.uint64) for s in (a, b))
         assert len(x) * 64 == similar.PARITY and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
         assert not np.bitwise_count(x ^ x).sum()
+
+
+def near_copies(seed, n=150):
+    """A large group of copies with a few words changed, some too far from each other, beside texts with a common line."""
+    rng = random.Random(seed)
+    word = lambda: "w%d" % rng.randrange(4000)
+    base = [word() for _ in range(120)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = word()
+        out.append(" ".join(w))
+    line = " ".join(word() for _ in range(12))
+    return list(enumerate(out + [line + " " + word() + " " + word() for _ in range(n // 2)]))
+
+
+def stage(spark, sf, rows):
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    return sorted(r.doc_id for r in cp.near_duplicates(spark, docs, sf).select("doc_id").collect())
+
+
+def test_stage_comes_through_simhash(spark, sf, monkeypatch):
+    """The stage's sets meet under deletion-variant signatures of their fingerprints, and what is alike there is linked."""
+    seen, given = [], []
+    links, verified = simhash.links, similar._verified
+    monkeypatch.setattr(simhash, "links", lambda fps, *how: (seen.append(([r.fp for r in fps.collect()], how)), links(fps, *how))[1])
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: (given.append([(r.a, r.b) for r in pairs.collect()]), verified(pairs, *rest))[1])
+    rows = near_copies(7, 40)
+    assert stage(spark, sf, rows) == sorted(brute(rows)) and len(seen) == 1
+    sets = similar._sets(pa.array([t.encode() for _, t in rows], pa.binary()), 5)
+    fp = dict(zip([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], simhash.majority(sets).tolist(), strict=True))
+    fps, (radius,) = seen[0]
+    fps = {f % (1 << 64) for f in fps}
+    assert radius == similar.RADIUS == 4 and fps <= set(fp.values()) and len(fps) >= 40
+    near = [(fp[a % (1 << 64)], fp[b % (1 << 64)]) for a, b in given[0]]
+    assert near and all((a ^ b).bit_count() <= radius for a, b in near)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in fps for b in fps if (a ^ b).bit_count() <= radius)
