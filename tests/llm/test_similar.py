@@ -121,3 +121,45 @@ def test_stage_comes_through_simhash(spark, sf, monkeypatch):
     for a, b in near:
         root[find(a)] = find(b)
     assert all(find(a) == find(b) for a in fps for b in fps if (a ^ b).bit_count() <= radius)
+
+
+@pytest.mark.parametrize("few,most,shingles", [(64, 2048, 1 << 20), (4, 16, 1 << 20), (8, 2048, 2000)])
+def test_large_groups_of_near_copies(spark, sf, few, most, shingles, monkeypatch):
+    """One bucket holds a whole group: no list of all its pairs, no rounds of jobs, blocks against each other, the same result."""
+    for name, value in (("FEW", few), ("MOST", most), ("SHINGLES", shingles)):
+        monkeypatch.setattr(similar, name, value, raising=False)
+    made, crossing = [], similar._crossing
+    monkeypatch.setattr(similar, "_crossing", lambda rooted: (made.append((crossing(rooted).count(), rooted.count())), crossing(rooted))[1])
+    rows = near_copies(11)
+    assert stage(spark, sf, rows) == sorted(brute(rows))
+    assert all(2 * pairs <= few * met for pairs, met in made)
+
+
+def test_jobs_of_the_stage(spark, sf):
+    """The driver keeps something of every job and task: a stage has a bounded number of rounds."""
+    rows = near_copies(11)
+    spark.sparkContext.setJobGroup("near_dedup", "near_dedup")
+    stage(spark, sf, rows)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near_dedup"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 180
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[int(rng.integers(0, 9)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 9)), dtype=np.uint64)])) for _ in range(60)]
+    n = np.array([len(s) for s in sets])
+    odd = np.stack([np.frombuffer(similar.parity(s), np.uint64) for s in sets])
+    root = np.arange(60) // 2 * 2  # pairs that are one component before
+    a, b = similar.forest(np.arange(60), n, np.zeros(60, int), root, odd, sets)
+    alike = lambda i, j: similar.alike(len(np.intersect1d(sets[i], sets[j])), n[i], n[j])
+
+    def classes(edges):
+        name = root.copy()
+        for i, j in edges:
+            name[name == name[i]] = name[j]
+        return {frozenset(np.flatnonzero(name == r).tolist()) for r in set(name.tolist())}
+
+    assert all(alike(i, j) for i, j in zip(a, b, strict=True)) and len(a) < 60
+    assert classes(zip(a, b, strict=True)) == classes([(i, j) for i in range(60) for j in range(i) if alike(i, j)])
