@@ -153,6 +153,9 @@ class Scorer:
         s /= np.maximum(np.diff(off), 1) ** model.power
         return s / (s + model.threshold)
 
+    def score(self, text: bytes) -> float:
+        return float(self.scores(pa.array([text], pa.binary()))[0])
+
 
 _scorers: dict[Model, Scorer] = {}
 
