@@ -226,13 +226,51 @@ def links(fps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
     return found.unionByName(dealt.groupBy("key", "low", "high").applyInArrow(pair, "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """From edges (a, b) to (node, root), root the smallest node of the component; alternating large and small stars."""
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The alternating stars of `components` in memory, on edges with u > v: each node but the roots, with its root."""
+
+    def distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        return u[new], v[new]
+
+    def least(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """For each edge, the smallest v of its u."""
+        order = np.lexsort((v, u))
+        return v[order][np.searchsorted(u[order], u)]
+
+    u, v = distinct(u, v)
+    while len(u):
+        one, two = np.concatenate([u, v]), np.concatenate([v, u])
+        up = two > one
+        a, b = distinct(two[up], np.minimum(one, least(one, two))[up])
+        m = least(a, b)
+        a, b = distinct(np.concatenate([b[b != m], a]), np.concatenate([m[b != m], m]))
+        if np.array_equal(a, u) and np.array_equal(b, v):
+            break
+        u, v = a, b
+    return u, v
+
+
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
+    """From edges (a, b) to (node, root), root the smallest node of the component; alternating large and small stars.
+    Once `few` edges or less are left, the rounds run in one task."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if parts:
+            u, v = contracted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
+        if 0 < mark[0] <= few:
+            edges = stored(edges.coalesce(1).mapInArrow(alone, "u long, v long"))
+        if mark == before or mark[0] <= few:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

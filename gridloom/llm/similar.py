@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import discard, stored
+from ..shared import discard, stored, trimmed
 from . import simhash
 from .common import Words, bounded, buffers, rolling, steps, utf8
 from .simhash import components
@@ -60,6 +60,8 @@ EARLIER = 4
 PARITY = 1024
 #: Keys that are broadcast at most, to fetch the sets of pairs (8 MB); for more, sets and keys are shuffled.
 KEYS = 1 << 20
+#: Edges whose stars are contracted in one task (16 MB, a few times that while they are sorted); more go by tables, a few jobs a round.
+EDGES = 1 << 20
 
 
 def prefix_length(n: int) -> int:
@@ -128,6 +130,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     own = df.select(F.col(id_col), "__mark", utf8(text_col).alias("__text"))
     rows = stored(own.mapInArrow(run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, __mark long, key long, n int, h array<long>, place array<int>, set binary, parity binary, fp long"))
     shared.destroy()
+    trimmed(df.sparkSession)
     return rows
 
 
@@ -300,9 +303,12 @@ def links(whole: DataFrame) -> DataFrame:
     """
     spent: list[DataFrame] = []
     near = stored(_verified(_near(whole, spent), whole, spent))
-    rooted = _mixed(_places(whole, components(near)))
+    trimmed(whole.sparkSession)
+    rooted = _mixed(_places(whole, components(near, EDGES)))
+    trimmed(whole.sparkSession)
     found = stored(_verified(_crossing(rooted), whole, spent).unionByName(_forests(rooted, whole)).unionByName(near).distinct())
     discard(near, rooted, *spent)
+    trimmed(whole.sparkSession)
     return found
 
 
@@ -315,8 +321,9 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = stored(rows.groupBy("key").agg(best.alias("best")))
     whole = distinct_sets(rows)
     discard(rows)
-    roots = components(links(whole))
+    roots = components(links(whole), EDGES)
     discard(whole)
+    trimmed(df.sparkSession)
     named = known.join(roots, known["key"] == roots["node"], "left").select("best", F.coalesce("root", "key").alias("root"))
     keep = named.groupBy("root").agg(F.min("best").alias("best")).select(_text_of("best.id").alias("__id"), F.col("best.mark").alias("__mark"))
     own = df.withColumns({"__mark": mark, "__id": _text_of(id_col)})

@@ -14,10 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shared import discard, stored
 from .common import mix64
 
 _SALT = [np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 BLOCK = 1 << 16
+#: Bytes of blocks that come to the driver in one job.
+FETCH = 4 << 20
 #: Hashes of a partition that are counted before they are handed on.
 _HELD = 1 << 21
 
@@ -93,17 +96,19 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
             yield done()
 
     parts = df.mapInArrow(counted, "block int, seen binary, again binary")
-    blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(added, "block int, bits binary")
+    blocks = stored(parts.repartition("block").sortWithinPartitions("block").mapInArrow(added, "block int, bits binary"))
     bits = np.zeros((depth, cells // 8), np.uint8)
     counts = np.zeros(1 << whole if whole else 0, np.int64)
     per = cells // BLOCK
-    for r in blocks.toLocalIterator():  # depth * cells / 8 bytes, and 8 a counter, in all
+    jobs = 1 + (bits.nbytes + counts.nbytes) // FETCH
+    for r in blocks.coalesce(jobs).toLocalIterator():  # a job a partition; depth * cells / 8 bytes, and 8 a counter, in all
         if r.block < 0:
             own = counts[(-1 - r.block) * BLOCK :][:BLOCK]
             own += np.frombuffer(r.bits, np.int64)[: len(own)]
             continue
         at = (r.block % per) * (BLOCK // 8)
         bits[r.block // per, at : at + BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
+    discard(blocks)
     return bits, counts
 
 

@@ -49,6 +49,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(spark: SparkSession) -> None:
+    """Collects the driver's garbage: its heap shrinks towards what lives, and shuffles and broadcasts that nothing reads any more go."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes stored tables that nothing will read any more."""
     for df in tables:

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from gridloom.llm import simhash, similar
+from gridloom import shared
+from gridloom.llm import simhash, similar, sketch
 
 
 def shingles(text):
@@ -145,6 +146,65 @@ def test_jobs_of_the_stage(spark, sf):
     assert jobs <= 180
 
 
+def test_jobs_of_a_sketch(spark):
+    """The sketch comes to the driver in jobs by its size, not in one for each partition."""
+    hashes = np.random.default_rng(5).integers(0, 1 << 64, 4000, dtype=np.uint64)
+    hashes[3000:] = hashes[:1000]
+    df = spark.createDataFrame([(int(x),) for x in hashes.view(np.int64)], "h long").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("sketch", "sketch")
+    try:
+        bits, counts = sketch.merged(df, lambda batch: iter([batch.column("h").to_numpy().view(np.uint64)]), 1 << 23, 1, 20)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch")) <= 8
+    cell, n = np.unique(sketch.cell(hashes, 0, 1 << 23), return_counts=True)
+    want = np.zeros(1 << 23, bool)
+    want[cell[n > 1]] = True
+    assert (np.unpackbits(bits[0], bitorder="little") == want).all()
+    assert (counts == np.bincount(sketch.coarse(hashes, 20), minlength=1 << 20)).all()
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_stars_by_tables_and_in_one_task(spark, few):
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    spark.sparkContext.setJobGroup(f"stars{few}", "stars")
+    got = simhash.components(spark.createDataFrame(pairs, "a long, b long"), few).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"stars{few}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in linked)
+    assert not few or jobs <= 12
+    assert simhash.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
+def test_the_driver_hands_memory_back(spark):
+    jvm = spark.sparkContext._jvm
+    held = [jvm.java.util.ArrayList() for _ in range(2)]
+    for x in held:
+        x.ensureCapacity(40_000_000)
+    full = jvm.java.lang.Runtime.getRuntime().totalMemory() - jvm.java.lang.Runtime.getRuntime().freeMemory()
+    for x in held:
+        x.trimToSize()
+    shared.trimmed(spark)
+    left = jvm.java.lang.Runtime.getRuntime().totalMemory() - jvm.java.lang.Runtime.getRuntime().freeMemory()
+    assert left < full - 200e6
+
+
 def test_forest():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
