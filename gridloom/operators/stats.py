@@ -65,7 +65,7 @@ def regress(x: Grid, y: Grid, axes: Sequence = (), n_fac: float | None = None, o
 def multiple_regress(xs: Sequence[Grid], y: Grid, axes: Sequence = (), n_fac: float | None = None, output="beta,p") -> Grid:
     """y on several regressors without an intercept: beta, r2, p, sb, covb, se; an array each for beta, p, sb.
 
-    The products' sums are one aggregate; the small systems are solved on its rows in Arrow batches.
+    Grids meet on their axes; values that are in one grid's rows already go to `regress_values`, which joins nothing.
     """
     g = y.with_df(y.df.withColumnRenamed(y.value, "__y"), values=("__y",))
     for i, x in enumerate(xs):
@@ -73,12 +73,20 @@ def multiple_regress(xs: Sequence[Grid], y: Grid, axes: Sequence = (), n_fac: fl
         names = [*g.values, f"__x{i}"]
         keys = [c for a in all_axes for c in a.all_columns]
         g = Grid(joined.select(*keys, *[num(c).alias(n) for c, n in zip([*left, *right], names, strict=True)]), all_axes, tuple(names), {})
+    return regress_values(g, [f"__x{i}" for i in range(len(xs))], "__y", axes, n_fac, output)
+
+
+def regress_values(g: Grid, xs: Sequence[str], y: str, axes: Sequence = (), n_fac: float | None = None, output="beta,p") -> Grid:
+    """`multiple_regress` of one value column of a grid on others of it, row by row.
+
+    The products' sums are one aggregate; the small systems are solved on its rows in Arrow batches.
+    """
     gone = [g.axis(a) for a in axes] or list(g.axes)
     left = tuple(a for a in g.axes if a not in gone)
     keys = [c for a in left for c in a.all_columns]
     k = len(xs)
-    x = [F.col(f"__x{i}") for i in range(k)]
-    yc = F.col("__y")
+    x = [num(c) for c in xs]
+    yc = num(y)
     sums = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(x[i] * yc).alias(f"c{i}") for i in range(k)]
     s = _agg(g.df, keys, *sums, F.sum(yc * yc).alias("yy"), F.sum(yc).alias("sy"), F.count(yc).alias("n"))
     row = s.select(*keys, F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)], *[F.col(f"c{i}") for i in range(k)], "yy", "sy", F.col("n").cast("double")).alias("__v"))

@@ -620,12 +620,9 @@ def stat_regress(spark, d):
 @query("""WITH s AS (SELECT l_returnflag AS flag, sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_discount * l_discount) AS c, sum(l_quantity * l_extendedprice) AS e, sum(l_discount * l_extendedprice) AS f FROM lineitem GROUP BY 1)
 SELECT flag, round((e * c - b * f) / (a * c - b * b), 4) AS b1, round((a * f - b * e) / (a * c - b * b), 2) AS b2 FROM s""")
 def stat_multiple_regress2(spark, d):
-    t = table(spark, d, "lineitem").withColumn("row", F.monotonically_increasing_id())
-    rows = t.groupBy(F.xxhash64(*t.columns[:-1]).alias("i"), F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")])
-    w = F.sqrt(F.col("n").cast("double"))  # equal rows as one, weighed by their number
-    a = [ax.Axis("i", "index"), ax.Axis("flag", "named")]
-    one = lambda c: grid(rows.select("i", "flag", (F.col(c) * w).alias(c)), a, c)
-    g = stats.multiple_regress([one("l_quantity"), one("l_discount")], one("l_extendedprice"), axes=["i"], output="beta")
+    rows = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    a = [ax.Axis("l_orderkey", "index"), ax.Axis("flag", "named")]
+    g = stats.regress_values(grid(rows, a, ("l_quantity", "l_discount", "l_extendedprice")), ["l_quantity", "l_discount"], "l_extendedprice", axes=["l_orderkey"], output="beta")
     return g.df.select("flag", rounded(F.col("beta")[0], 4).alias("b1"), rounded(F.col("beta")[1], 2).alias("b2"))
 
 

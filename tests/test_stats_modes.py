@@ -69,6 +69,37 @@ def test_multiple_regress(spark):
     assert by_lat.count() == 4 and set(by_lat.columns) == {"lat", "lat_weight", "beta", "p"}
 
 
+def test_regress_values_joins_nothing(spark):
+    g = synthetic.regression(spark, 12, 4, 3)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    one = lambda c: gl.Grid(g.df.select(*g.keys, c), g.axes, (c,))
+    h = stats.regress_values(g, ["X1", "X2"], "Y", ["time", "lon"], output="beta,r2,p,sb,covb,se")
+    assert joins(h.df) == joins(g.df)
+    want = stats.multiple_regress([one("X1"), one("X2")], one("Y"), ["time", "lon"], output="beta,r2,p,sb,covb,se")
+    assert h.axes == want.axes
+    got, want = (d.df.orderBy(*h.keys).toPandas() for d in (h, want))
+    for c in h.values:
+        np.testing.assert_allclose(np.stack(got[c].tolist()), np.stack(want[c].tolist()), rtol=1e-7)
+
+
+def test_multiple_regress2_query_goes_once_through_the_rows(spark, tmp_path):
+    """Equal rows count each, rows without a flag are a group; no row meets another."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(f, q, d, 900.0 * q - 5000.0 * d + e) for f in ("A", "R", None) for q, d, e in ((1.0, 0.05, 3.0), (1.0, 0.05, 3.0), (1.0, 0.05, 3.0), (7.0, 0.1, -40.0), (22.0, 0.0, 8.0), (50.0, 0.03, 100.0))]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "l_orderkey long, l_returnflag string, l_quantity double, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = entry.queries()["stat_multiple_regress2"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    key = lambda r: str(r[0])
+    got, want = sorted(map(tuple, df.collect()), key=key), sorted(con.execute(entry.oracle_sql()["stat_multiple_regress2"]).fetchall(), key=key)
+    assert got == want and len(got) == 3
+
+
 def test_tests(spark):
     gx, gy, x, y = two(spark)
     d = stats.difference(gx, gy, ["t"], output="d,df,p,ci").get()
