@@ -201,42 +201,49 @@ def cells(spark, d) -> DataFrame:
 N, U = npmath.BINARY, npmath.UNARY
 
 
+def elementwise(spark, d, exact: tuple[str, ...] = (), /, **more: Column) -> DataFrame:
+    """The cells as they are, with columns made of them: rounded, save the `exact` ones."""
+    return cells(spark, d).select("*", *[(c if k in exact else rounded(c, 6)).alias(k) for k, c in more.items()])
+
+
 @query("SELECT q, d, t, round(q + d, 6) AS a, round(q - t, 6) AS s, round(q * d, 6) AS m, round(-q, 6) AS n, round(abs(d - t), 6) AS b, pow(q, 2) AS p, sign(d - t)::DOUBLE AS g FROM cells", "cells")
 def ufunc_arith(spark, d):
-    return out(cells(spark, d), a=N["add"]("q", "d"), s=N["sub"]("q", "t"), m=N["mul"]("q", "d"), n=U["neg"]("q"), b=U["abs"](F.col("d") - F.col("t")), p=N["pow"]("q", 2), g=U["sign"](F.col("d") - F.col("t")))
+    return elementwise(spark, d, ("p",), a=N["add"]("q", "d"), s=N["sub"]("q", "t"), m=N["mul"]("q", "d"), n=U["neg"]("q"), b=U["abs"](F.col("d") - F.col("t")), p=N["pow"]("q", 2), g=U["sign"](F.col("d") - F.col("t")))
 
 
 @query("SELECT q, d, t, CASE WHEN d = 0 THEN '-Infinity'::DOUBLE ELSE round(ln(d), 6) END AS l, CASE WHEN d - t > 0 THEN round(log10(CASE WHEN d - t > 0 THEN d - t ELSE 1 END), 6) WHEN d - t = 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END AS l10 FROM cells", "cells")
 def ufunc_log_zero(spark, d):
-    return out(cells(spark, d), l=U["log"]("d"), l10=U["log10"](F.col("d") - F.col("t")))
+    return elementwise(spark, d, l=U["log"]("d"), l10=U["log10"](F.col("d") - F.col("t")))
 
 
 @query("SELECT q, d, t, CASE WHEN d <> 0 THEN round((q - 25) / d, 6) WHEN q = 25 THEN 'NaN'::DOUBLE WHEN q > 25 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS r FROM cells", "cells")
 def ufunc_div_zero(spark, d):
-    return out(cells(spark, d), r=N["div"](F.col("q") - 25, "d"))
+    q, r = F.col("q"), N["div"](F.col("q") - 25, "d")
+    # over zero, the SQL's cases have NaN above 25 and what is null below it
+    return elementwise(spark, d, r=F.when(F.col("d") != 0, r).when(F.isnan(q), npmath.INF).when(q.isNull(), -npmath.INF).otherwise(r))
 
 
 @query("SELECT q, d, t, round((q - 25) - floor((q - 25) / -7) * -7, 6) AS r, round((q - 25) - floor((q - 25) / 4) * 4, 6) AS s, round((q - 25) - trunc(q - 25), 6) AS f FROM cells", "cells")
 def ufunc_floor_mod(spark, d):
     x = F.col("q") - 25
-    return out(cells(spark, d), r=N["mod"](x, -7), s=N["mod"](x, 4), f=x - U["trunc"](x))
+    return elementwise(spark, d, r=N["mod"](x, -7), s=N["mod"](x, 4), f=x - U["trunc"](x))
 
 
 @query("SELECT q, d, t, round(sin(radians(q)), 6) AS s, round(cos(radians(q)), 6) AS c, round(tan(radians(q)), 6) AS n, round(degrees(asin(d)), 6) AS a, round(degrees(atan2(d, q)), 6) AS b, round(sinh(d), 6) AS h, round(atanh(d), 6) AS e, round(exp(d), 6) AS x, round(sqrt(q), 6) AS r, round(acosh(q), 6) AS k FROM cells", "cells")
 def ufunc_trig_deg(spark, d):
-    return out(cells(spark, d), s=U["sind"]("q"), c=U["cosd"]("q"), n=U["tand"]("q"), a=U["arcsind"]("d"), b=N["arctand2"]("d", "q"), h=U["sinh"]("d"), e=U["arctanh"]("d"), x=U["exp"]("d"), r=U["sqrt"]("q"), k=U["arccosh"]("q"))
+    return elementwise(spark, d, s=U["sind"]("q"), c=U["cosd"]("q"), n=U["tand"]("q"), a=U["arcsind"]("d"), b=N["arctand2"]("d", "q"), h=U["sinh"]("d"), e=U["arctanh"]("d"), x=U["exp"]("d"), r=U["sqrt"]("q"), k=U["arccosh"]("q"))
 
 
 @query("SELECT q, d, t, CASE WHEN q = 7 THEN 'NaN'::DOUBLE ELSE least(d, t) END AS lo, CASE WHEN q = 7 THEN 'NaN'::DOUBLE ELSE greatest(d, t) END AS hi, CASE WHEN q = 7 THEN 'NaN'::DOUBLE ELSE least(greatest(d, 0.02), 0.07) END AS c, CASE WHEN q = 7 THEN 0.0 ELSE d END AS z FROM cells", "cells")
 def ufunc_minmax_nan(spark, d):
     x = F.when(F.col("q") == 7, float("nan")).otherwise(F.col("d"))
-    return out(cells(spark, d), lo=npmath.minimum(x, "t"), hi=npmath.maximum(x, "t"), c=npmath.clip(x, 0.02, 0.07), z=npmath.nan_to_num(x))
+    return elementwise(spark, d, ("lo", "hi", "c", "z"), lo=npmath.minimum(x, "t"), hi=npmath.maximum(x, "t"), c=npmath.clip(x, 0.02, 0.07), z=npmath.nan_to_num(x))
 
 
 @query("SELECT q, d, t, round(d, 6) AS re, round(-t, 6) AS im, round(atan2(t, d), 6) AS an, round(q + d + t, 6) AS su, round(q * d * t, 6) AS pr FROM cells", "cells")
 def ufunc_complex_many(spark, d):
     z = npmath.complex_("d", "t")
-    return out(cells(spark, d), re=U["real"](U["conj"](z)), im=U["imag"](U["conj"](z)), an=U["angle"](z), su=npmath.vsum("q", "d", "t"), pr=npmath.vprod("q", "d", "t"))
+    return elementwise(spark, d, re=U["real"](U["conj"](z)), im=U["imag"](U["conj"](z)), an=U["angle"](z), su=npmath.vsum("q", "d", "t"), pr=npmath.vprod("q", "d", "t"))
 
 
 # Reductions

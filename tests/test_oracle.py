@@ -39,6 +39,39 @@ def test_same_rows(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
+ODD = [None, math.nan, math.inf, -0.0, 0.0, 0.05, 0.1234567891, 25.0, 25.00000001, 50.0]
+
+
+def bits(rows):
+    """Rows that tell null from NaN and -0.0 from 0.0."""
+    return sorted(tuple(map(repr, r)) for r in rows)
+
+
+def on_cells(name, spark, path, qs, ds, ts):
+    """The query's rows over all cells of these values, and its SQL's."""
+    cells = [(q, d, t) for q in qs for d in ds for t in ts]
+    spark.createDataFrame(cells, "l_quantity double, l_discount double, l_tax double").write.parquet(f"{path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet/*.parquet'")
+    got, want = entry.queries()[name](spark, str(path)), con.sql(entry.oracle_sql()[name])
+    assert got.columns == want.columns
+    return bits(map(tuple, got.collect())), bits(want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["ufunc_div_zero"])
+def test_odd_cells(name, spark, tmp_path):
+    got, want = on_cells(name, spark, tmp_path, ODD, ODD, [None, 0.0])
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["ufunc_arith", "ufunc_complex_many", "ufunc_div_zero", "ufunc_floor_mod", "ufunc_minmax_nan", "ufunc_trig_deg"])
+def test_cells_of_many_digits(name, spark, tmp_path):
+    """Columns that the SQL doesn't round aren't rounded."""
+    small = [None, 0.0, 0.05, 0.0123456789]
+    got, want = on_cells(name, spark, tmp_path, [None, 1.0, 7.0, 25.00000001, 50.0], small, small)
+    assert got == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
