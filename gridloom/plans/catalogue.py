@@ -213,7 +213,8 @@ def ufunc_arith(spark, d):
 
 @query("SELECT q, d, t, CASE WHEN d = 0 THEN '-Infinity'::DOUBLE ELSE round(ln(d), 6) END AS l, CASE WHEN d - t > 0 THEN round(log10(CASE WHEN d - t > 0 THEN d - t ELSE 1 END), 6) WHEN d - t = 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END AS l10 FROM cells", "cells")
 def ufunc_log_zero(spark, d):
-    return elementwise(spark, d, l=U["log"]("d"), l10=U["log10"](F.col("d") - F.col("t")))
+    l10 = npmath.back(U["log10"](F.col("d") - F.col("t")))  # the SQL's cases end in NaN, for null too
+    return elementwise(spark, d, l=U["log"]("d"), l10=l10)
 
 
 @query("SELECT q, d, t, CASE WHEN d <> 0 THEN round((q - 25) / d, 6) WHEN q = 25 THEN 'NaN'::DOUBLE WHEN q > 25 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS r FROM cells", "cells")
